@@ -48,8 +48,22 @@ def _checksum(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first())
 
 
+def merge_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after adding links (a, b) to known components: only their labels are joined anew."""
+    if known is None:
+        return stage(components(links), "components")
+    label = lambda s: known.select(F.col("id").alias(s), F.col("component").alias(f"c{s}"))
+    lifted = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    up = stage(components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "labels")
+    moved = known.join(up.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    moved = moved.select("id", F.coalesce("to", "component").alias("component"))
+    out = stage(moved.unionByName(up.join(known, "id", "left_anti")), "components")
+    unstage(up)
+    return out
+
+
 def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame], allowed: F.Column | None = None, growth: int = 8) -> DataFrame:
-    """Links (a, b) that join the same components as all true links inside the buckets do.
+    """(id, component) of the items linked inside the buckets, over all true links.
 
     rows: (bucket, id, size), one row for each bucket an item is in; two items
     may be linked only if they share a bucket. ``links_of`` takes candidate
@@ -66,8 +80,7 @@ def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame],
     come from outside the component with the smallest label first: in a bucket
     with one large family and a few others, the others are the pivots.
     """
-    rows, pivots, links, comp = rows.select("bucket", "id", "size"), 1, None, None
-    rows = stage(rows, "bucket-rows")
+    rows, pivots, comp = stage(rows.select("bucket", "id", "size"), "bucket-rows"), 1, None
     while True:
         if comp is None:
             state = rows.withColumn("component", F.col("id"))
@@ -84,12 +97,9 @@ def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame],
         met = live.join(top, "bucket").where((F.col("component") != F.col("p_component")) & (allowed if allowed is not None else F.lit(True)))
         pairs = met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         found = stage(links_of(pairs).select("a", "b"), "links")
-        links = found if links is None else stage(links.unionByName(found), "links")
         rest = live.select("bucket", "id", "size").join(top.select("bucket", F.col("p_id").alias("id")), ["bucket", "id"], "left_anti")
         rest = stage(rest, "bucket-rows")
-        unstage(live, rows, top, *([comp] if comp is not None else []))
-        rows, pivots = rest, pivots * growth
-        comp = stage(components(links), "components")
-    if links is None:
-        links = rows.sparkSession.createDataFrame([], "a long, b long")
-    return links
+        after = merge_components(comp, found)
+        unstage(live, rows, top, found, *([comp] if comp is not None else []))
+        rows, comp, pivots = rest, after, pivots * growth
+    return rows.sparkSession.createDataFrame([], "id long, component long") if comp is None else comp

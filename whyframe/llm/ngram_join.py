@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_id, partitions, stage
-from .graph import components, link_by_pivots
+from .graph import link_by_pivots, merge_components
 from .text_kernels import U64, mix, shingle_sets, slices, text_buffers, word_hashes
 
 LOW = U64((1 << 40) - 1)
@@ -246,8 +246,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     rows = profiles.select(F.explode("prefix").alias("bucket"), "id", "size")
     allowed = 100 * F.least("size", "p_size") >= percent * F.greatest("size", "p_size")
-    links = link_by_pivots(rows, links_of, allowed)
-    found = components(links.unionByName(_repeated_ids(members, classes)))
+    found = merge_components(link_by_pivots(rows, links_of, allowed), _repeated_ids(members, classes))
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = members.join(named, ["c1", "c2", "n_shingles"], "left")
     return out.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "id")).alias("component_id"))
