@@ -252,6 +252,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return out.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "id")).alias("component_id"))
 
 
+def keep_one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, without those that belong to a group and aren't its smallest id.
+
+    Documents with a null id, which no group can name, stay.
+    """
+    groups = ngram_jaccard_join(docs, n, percent, id_col, text_col)
+    gone = stage(groups.where("id <> component_id").select(F.col("id").alias("__whyframe_id")), "group-members")
+    return docs.join(gone, as_id(id_col) == F.col("__whyframe_id"), "left_anti")
+
+
 def _repeated_ids(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of an id that stands in several rows with different texts."""
     several = members.where("n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("k > 1 AND lo <> hi").select("id")
