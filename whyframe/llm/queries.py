@@ -54,6 +54,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import fit_licences, plain_paragraphs, scan_licences
+
+    docs = table(spark, sf_dir, "documents")
+    return scan_licences(docs, fit_licences(plain_paragraphs(docs, documents=300)))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_chain, label_categories, score_toxicity
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
+    "op8_licence_scan": op8_licence_scan,
     "op9_toxicity": op9_toxicity,
     "op10_token_id_output": op10_token_id_output,
 }
