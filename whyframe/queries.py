@@ -206,8 +206,8 @@ SQL: dict[str, tuple[str, str]] = {
         f"SELECT n_nationkey AS k, {_sum('rid')} FROM {N} WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) GROUP BY n_nationkey",
     ),
     "flagship": (
-        "SELECT r.r_name, n.n_name, count(*) AS items, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY r.r_name, n.n_name",
-        f"SELECT r.r_name, n.n_name, count(*) AS items, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, {_sum('l.rid', 'o.rid', 'c.rid', 'n.rid', 'r.rid')} FROM {L} l JOIN {O} o ON l.l_orderkey = o.o_orderkey JOIN {C} c ON o.o_custkey = c.c_custkey JOIN {N} n ON c.c_nationkey = n.n_nationkey JOIN {R} r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY r.r_name, n.n_name",
+        "SELECT r.r_name, n.n_name, count(*) AS items, CAST(sum(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY r.r_name, n.n_name",
+        f"SELECT r.r_name, n.n_name, count(*) AS items, CAST(sum(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, {_sum('l.rid', 'o.rid', 'c.rid', 'n.rid', 'r.rid')} FROM {L} l JOIN {O} o ON l.l_orderkey = o.o_orderkey JOIN {C} c ON o.o_custkey = c.c_custkey JOIN {N} n ON c.c_nationkey = n.n_nationkey JOIN {R} r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY r.r_name, n.n_name",
     ),
 }
 
@@ -423,7 +423,7 @@ UNION ALL SELECT id, set_no, 'repeated set', NULL FROM d WHERE k > 1""",
     ),
     "prov_count": (
         _with_tables(_digest),
-        f"SELECT r.r_name, n.n_name, count(*) AS items, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, count(DISTINCT concat_ws(',', l.rid, o.rid, c.rid, n.rid, r.rid)) AS why FROM {L} l JOIN {O} o ON l.l_orderkey = o.o_orderkey JOIN {C} c ON o.o_custkey = c.c_custkey JOIN {N} n ON c.c_nationkey = n.n_nationkey JOIN {R} r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY r.r_name, n.n_name",
+        f"SELECT r.r_name, n.n_name, count(*) AS items, CAST(sum(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, count(DISTINCT concat_ws(',', l.rid, o.rid, c.rid, n.rid, r.rid)) AS why FROM {L} l JOIN {O} o ON l.l_orderkey = o.o_orderkey JOIN {C} c ON o.o_custkey = c.c_custkey JOIN {N} n ON c.c_nationkey = n.n_nationkey JOIN {R} r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY r.r_name, n.n_name",
     ),
     "explain_text": (_with_tables(_explain), None),
 }
