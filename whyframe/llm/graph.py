@@ -9,12 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
 
 
+def smallest_labels(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest vertex of the component of each of n vertices under links (p, q), for links within one task."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[p], label[q])
+        after = label.copy()
+        np.minimum.at(after, label[p], low)
+        np.minimum.at(after, label[q], low)
+        while not np.array_equal(jump := after[after], after):
+            after = jump
+        if np.array_equal(after, label):
+            return label
+        label = after
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every vertex with a link; component: the smallest id reachable.
 
