@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are cut by bytes, not by rows alone; a smaller setting stays."""
+    size = spark.conf.get(BATCH, "64m").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    value = int(size[:-1]) * unit[size[-1]] if size[-1:] in unit else int(size)
+    if value > BATCH_BYTES or value <= 0:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -46,6 +57,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     files of the finished write are released at once.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    bound_batches(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -68,6 +80,7 @@ def unstage(*frames: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -74,34 +74,50 @@ def document_classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long")
 
 
+def _grouped(batches, n: int, least: int):
+    """(ids, sets, set borders) of consecutive documents with at least ``least`` shingles together, but for the last."""
+    ids, sets, sizes, held = [], [], [], 0
+    for batch in batches:
+        for i, s, at in _sets_of(batch, n):
+            ids.append(np.asarray(i, dtype=np.int64))
+            sets.append(s)
+            sizes.append(np.diff(at))
+            held += len(s)
+            if held >= least:
+                yield np.concatenate(ids), np.concatenate(sets), np.concatenate(sizes)
+                ids, sets, sizes, held = [], [], [], 0
+    if ids:
+        yield np.concatenate(ids), np.concatenate(sets), np.concatenate(sizes)
+
+
 def _by_bucket(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Packed shingles: (bucket, slice_id, counts, tokens, header), a row for each slice and bucket."""
+    """Packed shingles: (bucket, slice_id, counts, tokens, header), a row for each slice and bucket.
+
+    A slice has about a thousand shingles for each bucket, so rows stay packed
+    however many buckets there are.
+    """
 
     def run(batches):
-        task, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for ids, sets, at in _sets_of(batch, n):
-                sizes = np.diff(at)
-                owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-                bucket = ((sets >> U64(40)) % U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                low, owner = (sets & LOW)[order], owner[order]
-                head = np.concatenate([np.asarray(ids, dtype=np.int64), sizes]).tobytes()
-                rows = {"bucket": [], "slice_id": [], "counts": [], "tokens": [], "header": []}
-                own = k % buckets
-                for b in range(buckets):
-                    x, y = cut[b], cut[b + 1]
-                    if x == y and b != own:
-                        continue
-                    counts = np.bincount(owner[x:y], minlength=len(sizes)).astype(np.uint32)
-                    rows["bucket"].append(b)
-                    rows["slice_id"].append((task << 32) + k)
-                    rows["counts"].append(counts.astype(np.uint16).tobytes() if counts.max(initial=0) < 65535 else b"W" + counts.tobytes())
-                    rows["tokens"].append(_pack(low[x:y]))
-                    rows["header"].append(head if b == own else None)
-                k += 1
-                yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
+        task = TaskContext.get().partitionId()
+        for k, (ids, sets, sizes) in enumerate(_grouped(batches, n, 1024 * buckets)):
+            owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+            bucket = ((sets >> U64(40)) % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            low, owner = (sets & LOW)[order], owner[order]
+            own = k % buckets
+            rows = {name: [] for name in _SCHEMA.names}
+            for b in range(buckets):
+                x, y = cut[b], cut[b + 1]
+                if x == y and b != own:
+                    continue
+                counts = np.bincount(owner[x:y], minlength=len(sizes)).astype(np.uint32)
+                rows["bucket"].append(b)
+                rows["slice_id"].append((task << 32) + k)
+                rows["counts"].append(counts.astype(np.uint16).tobytes() if counts.max(initial=0) < 65535 else b"W" + counts.tobytes())
+                rows["tokens"].append(_pack(low[x:y]))
+                rows["header"].append(np.concatenate([ids, sizes]).tobytes() if b == own else None)
+            yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
 
     return docs.mapInArrow(run, "bucket int, slice_id long, counts binary, tokens binary, header binary")
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MAX_BYTES = 1 << 21
+MAX_BYTES = 1 << 19
 U64 = np.uint64
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -41,7 +41,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
