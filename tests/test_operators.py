@@ -140,3 +140,14 @@ def test_model_hook_tries_again():
 def test_json_array_check(spark):
     df = spark.createDataFrame([("[1]",), ('{"a":1}',), ("x",), (None,)], "t string")
     assert [r[0] for r in df.select(answers.is_json_array(F.col("t"))).collect()] == [True, False, False, False]
+
+
+def test_batched_search_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i), float(i % 3)]) for i in range(30)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    whole = sorted(map(tuple, retrieval.vector_top_k_batch(v, q, 3).collect()))
+    assert len(whole) == 24 and whole == sorted(map(tuple, retrieval.vector_top_k_batch(v, q, 3, block=2).collect()))
+    points = {i: (i, i % 3) for i in range(30)}
+    for i in range(0, 30, 4):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(points[i], points[j])), j) for j in points if j != i)[:3]
+        assert sorted(w[1] for w in whole if w[0] == i) == sorted(j for _, j in near)

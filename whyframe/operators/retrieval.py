@@ -46,15 +46,21 @@ def vector_top_k(vectors: DataFrame, query: Column, k: int = TOP_K, id_col: str
     return vectors.select(id_col, l2_squared(F.col(vec_col), query).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def vector_top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The k nearest vectors of each query (q_id, q_vec); only k rows a query and task are sorted together.
+def vector_top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """The k nearest other vectors of each query (q_id, q_vec).
 
-    queries is a stated, bounded query set: it is broadcast.
+    Queries are counted first and sent to the executors in blocks of about
+    ``block``, so a broadcast never grows with their number. Within a block each
+    task keeps k rows a query before anything is shuffled.
     """
-    pairs = vectors.join(F.broadcast(queries), F.col(id_col) != F.col("q_id"))
-    scored = pairs.select("q_id", id_col, l2_squared(F.col(vec_col), F.col("q_vec")).alias("distance"))
-    order = Window.partitionBy("q_id").orderBy("distance", id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // block))
+    order, out = Window.partitionBy("q_id").orderBy("distance", id_col), None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
+        scored = vectors.join(F.broadcast(some), F.col(id_col) != F.col("q_id")).select("q_id", id_col, l2_squared(F.col(vec_col), F.col("q_vec")).alias("distance"))
+        part = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def capped(hits: DataFrame, index: DataFrame, max_rows: int = MAX_ROWS, max_tables: int = MAX_TABLES) -> DataFrame:
