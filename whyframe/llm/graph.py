@@ -81,10 +81,11 @@ def merge_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
 def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame], allowed: F.Column | None = None, growth: int = 8) -> DataFrame:
     """(id, component) of the items linked inside the buckets, over all true links.
 
-    rows: (bucket, id, size), one row for each bucket an item is in; two items
-    may be linked only if they share a bucket. ``links_of`` takes candidate
-    pairs (a, b) with a < b and keeps the true links. ``allowed`` is a
-    condition on columns ``p_size`` and ``size`` that every link meets.
+    rows: (bucket, id) and further columns of the item, one row for each bucket
+    an item is in; two items may be linked only if they share a bucket.
+    ``links_of`` takes candidate pairs (a, b) with a < b and keeps the true
+    links. ``allowed`` is a condition that every link meets, on the further
+    columns of an item and, with ``p_`` before the name, of the pivot.
 
     Instead of all pairs of a bucket, each round compares a few pivots of a
     bucket with its other members, skips members already in the pivot's
@@ -96,7 +97,8 @@ def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame],
     come from outside the component with the smallest label first: in a bucket
     with one large family and a few others, the others are the pivots.
     """
-    rows, pivots, comp = stage(rows.select("bucket", "id", "size"), "bucket-rows"), 1, None
+    own = [c for c in rows.columns if c not in ("bucket", "id")]
+    rows, pivots, comp = stage(rows, "bucket-rows"), 1, None
     while True:
         if comp is None:
             state = rows.withColumn("component", F.col("id"))
@@ -108,12 +110,13 @@ def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame],
             unstage(live, rows)
             break
         order = Window.partitionBy("bucket").orderBy(F.col("component") == F.col("lo"), "id")
-        top = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("bucket", F.col("id").alias("p_id"), F.col("size").alias("p_size"), F.col("component").alias("p_component"))
+        top = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("id", "component", *own)])
         top = stage(top, "pivots")
-        met = live.join(top, "bucket").where((F.col("component") != F.col("p_component")) & (allowed if allowed is not None else F.lit(True)))
+        open_ = (F.col("component") != F.col("p_component")) & (allowed if allowed is not None else F.lit(True))
+        met = live.join(top, "bucket").where(open_)
         pairs = met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         found = stage(links_of(pairs).select("a", "b"), "links")
-        rest = live.select("bucket", "id", "size").join(top.select("bucket", F.col("p_id").alias("id")), ["bucket", "id"], "left_anti")
+        rest = live.select("bucket", "id", *own).join(top.select("bucket", F.col("p_id").alias("id")), ["bucket", "id"], "left_anti")
         rest = stage(rest, "bucket-rows")
         after = merge_components(comp, found)
         unstage(live, rows, top, found, *([comp] if comp is not None else []))
