@@ -93,9 +93,10 @@ def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame],
     pivot has then met every member, so it is withdrawn. The number of pivots
     grows from round to round, and the rounds end when no bucket holds two
     components, so no link between two components is ever missed. A family of
-    near copies ends after one round, with one pair for each member. Pivots
-    come from outside the component with the smallest label first: in a bucket
-    with one large family and a few others, the others are the pivots.
+    near copies ends after one round, with one pair for each member. The first
+    pivots are the items with the largest ``weight``, if there is such a column.
+    Later pivots come from outside the component with the smallest label first:
+    in a bucket with one large family and a few others, the others are pivots.
     """
     own = [c for c in rows.columns if c not in ("bucket", "id")]
     rows, pivots, comp = stage(rows, "bucket-rows"), 1, None
@@ -109,7 +110,8 @@ def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame],
         if live.isEmpty():
             unstage(live, rows)
             break
-        order = Window.partitionBy("bucket").orderBy(F.col("component") == F.col("lo"), "id")
+        first = [] if comp is None else [F.col("component") == F.col("lo")]
+        order = Window.partitionBy("bucket").orderBy(*first, *([F.desc("weight")] if "weight" in own else []), "id")
         top = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("id", "component", *own)])
         top = stage(top, "pivots")
         open_ = (F.col("component") != F.col("p_component")) & (allowed if allowed is not None else F.lit(True))

@@ -14,6 +14,12 @@ documents sends one row to each bucket of shingles, and gets one back with
 the shingles that repeat. A document whose repeated shingles are fewer than
 ``ceil(t n)`` has no partner and goes no further.
 
+Before a pair is made at all, parities of hashed shingles bound the sets'
+difference from below: each shingle that only one set has changes one of 256
+bits at most. Pairs that differ in more bits than the threshold allows are not
+candidates. The first document that a bucket is compared with is the one with
+the most frequent shingles, as a rule the text that the others are copies of.
+
 Documents with equal sets form one class and are joined through their
 smallest id, so thousands of copies cost as much as one text.
 
@@ -38,6 +44,7 @@ from .text_kernels import U64, mix, shingle_sets, slices, text_buffers, word_has
 
 LOW = U64((1 << 40) - 1)
 ORDERS = 3
+SKETCH = 4
 _SALTS = [0x51ED270B, 0x2545F491, 0x9E6D62D0, 0x7F4A7C15, 0x1B873593]
 
 
@@ -173,7 +180,7 @@ def _repeated_in_bucket(group: pa.Table) -> pa.Table:
 
 
 _REPEATED = pa.schema([("bucket", pa.int32()), ("slice_id", pa.int64()), ("counts", pa.binary()), ("tokens", pa.binary()), ("levels", pa.binary()), ("header", pa.binary())])
-_PROFILE = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())), *[(f"order{i}", pa.list_(pa.int32())) for i in range(1, ORDERS)]])
+_PROFILE = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("single", pa.int64()), ("weight", pa.int64()), *[(f"sketch{i}", pa.int64()) for i in range(SKETCH)], ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())), *[(f"order{i}", pa.list_(pa.int32())) for i in range(1, ORDERS)]])
 
 
 def _profiles(percent: int):
@@ -201,6 +208,11 @@ def _profiles(percent: int):
             keep = len(t) - int(need[k]) + 1
             out["id"].append(int(ids[k]))
             out["size"].append(int(sizes[k]))
+            out["single"].append(int(sizes[k]) - len(t))
+            out["weight"].append(int(level.sum(dtype=np.int64)) * 100 // int(sizes[k]))
+            parity = np.bincount((mix(t + U64(_SALTS[-1])) & U64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+            for i, word in enumerate(np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)):
+                out[f"sketch{i}"].append(int(word))
             out["tokens"].append(np.sort(t).tobytes())
             for i in range(ORDERS):
                 h = mix(t + U64(_SALTS[i]))
@@ -246,7 +258,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     buckets = max(16, partitions(spark))
     packed = _by_bucket(plain, n, buckets)
     repeated = packed.groupBy("bucket").applyInArrow(_repeated_in_bucket, "bucket int, slice_id long, counts binary, tokens binary, levels binary, header binary")
-    schema = "id long, size long, tokens binary, prefix array<long>, " + ", ".join(f"order{i} array<int>" for i in range(1, ORDERS))
+    sketch = [f"sketch{i}" for i in range(SKETCH)]
+    schema = "id long, size long, single long, weight long, " + "".join(f"{c} long, " for c in sketch) + "tokens binary, prefix array<long>, " + ", ".join(f"order{i} array<int>" for i in range(1, ORDERS))
     profiles = repeated.groupBy("slice_id").applyInArrow(_profiles(percent), schema)
     profiles = stage(profiles.join(classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size")).distinct(), ["id", "size"], "left_semi"), "profiles")
 
@@ -260,8 +273,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         full = lambda s: profiles.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), F.col("tokens").alias(f"tokens_{s}"))
         return candidates.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verified(percent), "a long, b long")
 
-    rows = profiles.select(F.explode("prefix").alias("bucket"), "id", "size")
+    rows = profiles.select(F.explode("prefix").alias("bucket"), "id", "size", "single", "weight", *sketch)
     allowed = 100 * F.least("size", "p_size") >= percent * F.greatest("size", "p_size")
+    differ = F.col("single") + F.col("p_single")
+    for c in sketch:
+        differ = differ + F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}")))
+    allowed = allowed & (differ * (100 + percent) <= (F.col("size") + F.col("p_size")) * (100 - percent))
     found = merge_components(link_by_pivots(rows, links_of, allowed), _repeated_ids(members, classes))
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = members.join(named, ["c1", "c2", "n_shingles"], "left")
