@@ -79,6 +79,18 @@ def unstage(*frames: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def bounded_sample(df: DataFrame, key: F.Column, n: int, total: int | None = None) -> DataFrame:
+    """The n rows with the smallest hash of their key, the same on every run.
+
+    Where there are many more rows, those far from the smallest hashes are left
+    out by a threshold first, so that about 4 n rows reach the final sort and
+    not n from every task.
+    """
+    total, h, span = df.count() if total is None else total, F.xxhash64(key), 1 << 30
+    near = df.where(F.pmod(h, F.lit(span)) < int(span * 4 * n / total)) if total > 8 * n else df
+    return near.orderBy(F.pmod(h, F.lit(span)), h, key).limit(n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

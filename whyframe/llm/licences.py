@@ -11,7 +11,7 @@ in the paragraph, by the share of its word pairs.
 
 Scanning is one pass over whole texts without a shuffle. Fitting happens in the
 driver on bundled wording and on the paragraphs of at most ``plain_documents``
-documents, those with the smallest hash of their text.
+documents, those with the smallest hash of their id.
 
 Defined results: null and empty texts and blank paragraphs have no row. Rows
 with a null id have rows with a null id; repeated documents each have their
@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id
+from .common import as_id, bounded_sample
 from .licence_texts import PROSE, examples, templates
 
 PLAIN = "plain"
@@ -81,10 +81,10 @@ def _fit(rows: list[set[str]], y: np.ndarray, names: list[str], k: int, l1: floa
     return w, bias
 
 
-def plain_paragraphs(docs: DataFrame, documents: int, text_col: str = "text") -> list[str]:
+def plain_paragraphs(docs: DataFrame, documents: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """Paragraphs of a bounded sample of documents that mention no licence."""
     text = F.col(f"`{text_col}`").cast("string")
-    few = docs.select(text.alias("text")).where("text IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(documents)
+    few = bounded_sample(docs.select(as_id(id_col).alias("id"), text.alias("text")), F.col("id"), documents)
     lines = few.select(F.explode(F.split("text", "\n", -1)).alias("p")).where("trim(p) <> ''")
     return sorted({r.p for r in lines.where(~F.lower("p").rlike("licen[sc]|copyright|rights reserved|public domain|creative commons|gnu ")).collect()})
 
