@@ -64,6 +64,8 @@ def test_odd_rows(spark, labelled):
     none = toxicity.fit_chain(docs, labels.where("toxic = 0"), toxicity.label_categories(), "toxic")
     assert {r.toxic for r in toxicity.score_toxicity(docs, none).collect()} == {False}
     assert toxicity.score_toxicity(odd.where("false"), chain).count() == 0
+    unmet = toxicity.fit_chain(docs.where("false"), labels, toxicity.label_categories(), "toxic")
+    assert {r.toxic for r in toxicity.score_toxicity(docs, unmet).collect()} == {False}
 
 
 @pytest.fixture(scope="module")

@@ -52,7 +52,8 @@ def enumerate_patterns(histogram: np.ndarray) -> np.ndarray:
     capacity = len(histogram) - 1
     there = histogram > 0
     there[0] = True
-    i, j = np.meshgrid(np.flatnonzero(there), np.flatnonzero(there), indexing="ij")
+    lengths = np.flatnonzero(there).astype(np.int32)
+    i, j = np.meshgrid(lengths, lengths, indexing="ij")
     i, j = i.ravel(), j.ravel()
     k = capacity - i - j
     ok = (i < capacity) & (i >= j) & (j >= k) & (k >= 0) & (j > 0)

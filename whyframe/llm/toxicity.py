@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id
+from .common import as_id, bounded_sample
 from .text_kernels import _FOLD, prefix_sums, slices, span_hashes, text_buffers, words
 
 BITS = 22
@@ -69,24 +70,35 @@ class Linear:
         return 1.0 / (1.0 + np.exp(-np.clip(total, -40, 40)))
 
 
+def _chunks(rows: list[np.ndarray], size: int = 256):
+    """(first row, the rows' slots one after the other, the row of each), a few rows at a time."""
+    for at in range(0, len(rows), size):
+        part = rows[at : at + size]
+        yield at, np.concatenate(part), np.repeat(np.arange(at, at + len(part)), [len(r) for r in part])
+
+
 def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, keep: int = 4000, l1: float = 2e-4, steps: int = 150) -> Linear:
     """L1-regularised logistic regression by accelerated proximal gradient, on the slots that tell the classes apart best."""
     n = len(rows)
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(n), lengths)
-    names, where = np.unique(flat, return_inverse=True)
-    with_ = np.bincount(where, minlength=len(names))
-    hits = np.bincount(where, weights=y[owner], minlength=len(names))
+    # tables over all slots, filled by a few rows at a time: the memory is fixed by BITS
+    with_, hits = np.zeros(1 << BITS, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
+    for _, slots, row in _chunks(rows):
+        np.add.at(with_, slots, 1)
+        np.add.at(hits, slots[y[row] > 0.5], 1)
     rate = y.mean() if n else 0.0
-    z = np.abs(hits - with_ * rate) / np.sqrt(np.maximum(with_ * rate * (1 - rate), 1e-9))
-    z[with_ < 3] = 0
+    names = np.flatnonzero(with_ >= 3)
+    seen, toxic = with_[names].astype(float), hits[names].astype(float)
+    z = np.abs(toxic - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
     chosen = np.sort(np.argsort(-z, kind="stable")[:keep])
     chosen = chosen[z[chosen] > 2]
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(len(chosen))
-    inside = column[where] >= 0
-    owner, where, m = owner[inside], column[where[inside]], len(chosen)
+    column, m = np.full(1 << BITS, -1, dtype=np.int32), len(chosen)
+    column[names[chosen]] = np.arange(m)
+    where, owner = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for _, slots, row in _chunks(rows):
+        own = column[slots]
+        where.append(own[own >= 0])
+        owner.append(row[own >= 0])
+    where, owner = np.concatenate(where), np.concatenate(owner)
     w, v = np.zeros(m + earlier.shape[1]), np.zeros(m + earlier.shape[1])
     bias = look = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
     fullest = np.bincount(owner, minlength=1).max(initial=1) + earlier.shape[1] + 1
@@ -141,11 +153,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
     names = list(categories)
     known = labels.select(as_id(id_col).alias("id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()]).where("id IS NOT NULL")
     known = known.groupBy("id").agg(*[F.max(n).alias(n) for n in names])
-    order = [F.xxhash64("id"), F.col("id")]
-    sample = known.where(F.col(decisive) == 1).orderBy(*order).limit(per_class).unionByName(known.where(F.col(decisive) == 0).orderBy(*order).limit(per_class))
     totals = {r[decisive]: r["count"] for r in known.groupBy(decisive).count().collect()}
     if len(totals) < 2:
         return Chain(names, [], decisive, 2.0)
+    with_, without = (bounded_sample(known.where(F.col(decisive) == v), F.col("id"), per_class, totals[v]) for v in (1, 0))
+    sample = with_.unionByName(without)
 
     def run(batches):
         for batch in batches:
@@ -156,11 +168,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
 
     plain = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     joined = plain.join(F.broadcast(sample), "id")  # at most 2 * per_class ids
-    rows = joined.mapInArrow(run, "id long, slots binary, " + ", ".join(f"`{n}` int" for n in names)).toPandas().sort_values("id", kind="stable").reset_index(drop=True)
-    rows = rows.drop_duplicates("id")
-    slots = [np.frombuffer(x, np.int32) for x in rows["slots"]]
-    y = rows[names].to_numpy(dtype=float)
-    fold = (rows["id"].to_numpy(dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
+    found = joined.mapInArrow(run, "id long, slots binary, " + ", ".join(f"`{n}` int" for n in names)).toArrow()
+    found = found.take(pc.sort_indices(found, sort_keys=[("id", "ascending"), ("slots", "ascending")]))
+    ids = found.column("id").to_numpy()
+    if not len(ids):
+        return Chain(names, [], decisive, 2.0)
+    once = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of a repeated document one
+    ids, found = ids[once], found.take(once)
+    slots = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]
+    y = np.stack([found.column(n).to_numpy() for n in names], axis=1).astype(float)
+    fold = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
     oof, models = np.zeros(y.shape), []
     for k in range(len(names)):
         for f in range(FOLDS):
