@@ -66,3 +66,11 @@ def test_passage_in_a_very_long_text():
     text = normalised(np.frombuffer(long.encode(), np.uint8))[0]
     found = passages(text, Items([(5, item)], 10, 0.08))
     assert len(found) == 1 and found[0][3] == 0
+
+
+def test_items_without_an_id_count_for_documents(spark):
+    item = "a nameless item of some length that stands in a text"
+    docs = spark.createDataFrame([(1, f"before it {item} and after it"), (2, "nothing of the sort")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, item), (5, None)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate(docs, benchmark).collect()] == [2]
+    assert benchmark_hits(docs, benchmark).count() == 0

@@ -18,7 +18,7 @@ control characters are one blank. Defined results: null and empty texts hold no
 passage; an item whose normalised text is null or shorter than q characters is
 too short to tell a copy and matches nothing. Repeated documents and items each
 have their own rows. Rows with a null document id or item id are left out of
-the hits; ``decontaminate`` judges documents by their text alone. Extra columns
+the hits; ``decontaminate`` judges documents and items by their text alone. Extra columns
 are ignored, or kept as they are by ``decontaminate``.
 """
 
@@ -219,7 +219,7 @@ def hits_of_batch(column, items: Items) -> Iterator[tuple[int, int, int, int, in
 def item_blocks(benchmark: DataFrame, q: int, error_rate: float, block_chars: int, id_col: str, text_col: str) -> Iterator[Items]:
     plain = benchmark.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     block, room = [], block_chars
-    for row in plain.where("id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+    for row in plain.where("text IS NOT NULL").toLocalIterator():
         block.append((row.id, row.text))
         room -= len(row.text)
         if room <= 0:
@@ -233,7 +233,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.
     """(doc_id, item_id, start, end, edits, item_length), one row for each copy of an item in a document."""
     plain = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL")
     out = None
-    for items in item_blocks(benchmark, q, error_rate, block_chars, item_id_col, item_text_col):
+    for items in item_blocks(benchmark.where(as_id(item_id_col).isNotNull()), q, error_rate, block_chars, item_id_col, item_text_col):
 
         def run(batches, items=items):
             for batch in batches:
