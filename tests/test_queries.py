@@ -34,6 +34,11 @@ def test_query(spark, duck, name):
     assert got == sorted(str([rounded(r[c]) for c in columns]) for r in (dict(zip(want.columns, x)) for x in want.fetchall()))
 
 
+def test_index_holds_every_row(spark):
+    got = {r.table_name: r["count"] for r in QUERIES["index_docs_all"](spark, SF).groupBy("table_name").count().collect()}
+    assert got == {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in "region nation customer supplier part orders lineitem".split()}
+
+
 def test_entry(spark):
     import __spark_entry__
 

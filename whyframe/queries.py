@@ -318,6 +318,16 @@ def _text_sql(table: str, columns: list[str]) -> str:
 
 _NATION, _REGION, _CUSTOMER = ["n_nationkey", "n_name", "n_regionkey"], ["r_regionkey", "r_name"], ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
+_COLUMNS = {
+    "region": _REGION,
+    "nation": _NATION,
+    "customer": _CUSTOMER,
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+}
+
 
 def _fetch(t: dict[str, DataFrame]) -> DataFrame:
     return leaves.leaf_scan(t["nation"].sparkSession, "nation", ["n_name", "n_regionkey"], ["n_regionkey >= 1"])
@@ -350,6 +360,10 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         _with_tables(lambda s, t: retrieval.index_documents(t, allow=["nation", "region"])),
         f"SELECT 'nation' AS table_name, {_RID['nation']} AS rid, {_text_sql('nation', _NATION)} AS text FROM nation UNION ALL SELECT 'region', {_RID['region']}, {_text_sql('region', _REGION)} FROM region",
     ),
+    "index_docs_all": (
+        _with_tables(lambda s, t: retrieval.index_documents(t)),
+        " UNION ALL ".join(f"SELECT '{t}' AS table_name, {_RID[t]} AS rid, {_text_sql(t, _COLUMNS[t])} AS text FROM {t}" for t in TABLES),
+    ),
     "row_to_text": (
         _with_tables(lambda s, t: t["customer"].select("c_custkey", retrieval.row_text(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]).alias("text"))),
         f"SELECT c_custkey, {_text_sql('customer', ['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment'])} AS text FROM customer",
