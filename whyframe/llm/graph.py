@@ -78,7 +78,7 @@ def merge_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame], allowed: F.Column | None = None, growth: int = 8) -> DataFrame:
+def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame], allowed: F.Column | None = None, growth: int = 8, narrow: Callable[[DataFrame], DataFrame] | None = None, narrow_at: int = 64) -> DataFrame:
     """(id, component) of the items linked inside the buckets, over all true links.
 
     rows: (bucket, id) and further columns of the item, one row for each bucket
@@ -97,6 +97,10 @@ def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame],
     pivots are the items with the largest ``weight``, if there is such a column.
     Later pivots come from outside the component with the smallest label first:
     in a bucket with one large family and a few others, the others are pivots.
+
+    ``narrow``: once ``narrow_at`` pivots would be compared, it gets the rows of
+    the buckets that still hold several components and returns smaller buckets
+    for the same items.
     """
     own = [c for c in rows.columns if c not in ("bucket", "id")]
     rows, pivots, comp = stage(rows, "bucket-rows"), 1, None
@@ -110,6 +114,11 @@ def link_by_pivots(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame],
         if live.isEmpty():
             unstage(live, rows)
             break
+        if narrow is not None and pivots >= narrow_at:
+            finer = stage(narrow(live.select("bucket", "id", *own)), "bucket-rows")
+            unstage(live, rows)
+            rows, narrow, pivots = finer, None, growth
+            continue
         first = [] if comp is None else [F.col("component") == F.col("lo")]
         order = Window.partitionBy("bucket").orderBy(*first, *([F.desc("weight")] if "weight" in own else []), "id")
         top = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("id", "component", *own)])
