@@ -74,3 +74,21 @@ def test_items_without_an_id_count_for_documents(spark):
     benchmark = spark.createDataFrame([(None, item), (5, None)], "item_id long, text string")
     assert [r.doc_id for r in decontaminate(docs, benchmark).collect()] == [2]
     assert benchmark_hits(docs, benchmark).count() == 0
+
+
+def test_short_items_have_their_whole_budget(spark):
+    """Items of 10 to 60 characters with floor(0.08 L) edits and with one more."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxy"
+    items, docs = [], []
+    for length in range(10, 61):
+        text = "".join(rng.choice(letters) for _ in range(length))
+        items.append((length, text))
+        for extra in (0, 1):
+            at = sorted(rng.sample(range(1, length - 1), int(0.08 * length) + extra))
+            docs.append((2 * length + extra, "and so " + "".join("z" if i in at else c for i, c in enumerate(text)) + " then"))
+    docs.append((1000, "and so copy thiz line ok then"))
+    items.append((1000, "copy this line ok"))
+    got = {(r.doc_id, r.item_id, r.edits) for r in benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i, distance(norm(item), norm(text))) for d, text in docs for i, item in items if distance(norm(item), norm(text)) <= int(0.08 * len(norm(item)))}
+    assert got == want and {d for d, *_ in got} == {*range(20, 122, 2), 1000}

@@ -9,16 +9,21 @@ by half hold any such window whole, so counting distinct item q-grams in each
 band loses no copy. Bands that reach the bound are verified by an alignment
 confined to their diagonals.
 
-Documents are scanned once and never shuffled. The items are sent to the
-executors in blocks of at most ``block_chars`` characters, one pass each, so
-what is sent is bounded whatever the benchmark's size.
+An item so short that ``e`` edits may leave none of its q-grams is looked for
+by shorter ones, with the same ``e``.
+
+Documents are never shuffled. The items go to the executors in blocks of at most
+``block_chars`` characters; each block is one pass over the documents. The
+driver holds the blocks, so the benchmark, not the corpus, must fit there.
 
 Normalised: A-Z in lower case; runs of white space, ASCII punctuation and
 control characters are one blank. Defined results: null and empty texts hold no
 passage; an item whose normalised text is null or shorter than q characters is
 too short to tell a copy and matches nothing. Repeated documents and items each
 have their own rows. Rows with a null document id or item id are left out of
-the hits; ``decontaminate`` judges documents and items by their text alone. Extra columns
+the hits; ``decontaminate`` judges documents and items by their text alone. Of
+overlapping finds of an item the one with the fewest edits, then the first,
+counts. Very long texts are read whole, in slices of their own. Extra columns
 are ignored, or kept as they are by ``decontaminate``.
 """
 
@@ -66,14 +71,18 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], q: int, error_rate: float):
         self.q, self.ids, self.texts, self.edits, self.least = q, [], [], [], []
-        grams, owners, places = [], [], []
+        grams, owners, places, brief, shorter = [], [], [], [], q
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             t = normalised(raw)[0]
             t = np.frombuffer(t.tobytes().strip(), np.uint8)
             if len(t) < q:
                 continue
-            e = min(int(error_rate * len(t)), (len(t) - q) // q)
+            e = int(error_rate * len(t))
+            if len(t) < q * (e + 1):  # so many edits may leave none of its q-grams: shorter ones are counted
+                brief.append((item, text))
+                shorter = min(shorter, max(1, len(t) // (e + 1)))
+                continue
             g = qgrams(t, q)
             grams.append(g)
             owners.append(np.full(len(g), len(self.ids)))
@@ -88,6 +97,7 @@ class Items:
         order = np.argsort(flat, kind="stable")
         self.grams, self.owner, self.place = flat[order], *(np.concatenate(x)[order] if grams else np.zeros(0, np.int64) for x in (owners, places))
         self.same = np.searchsorted(self.grams, self.grams, side="right") - np.arange(len(self.grams))
+        self.brief = Items(brief, shorter, error_rate) if brief else None
         bits = 20
         self.shift = U64(64 - bits)
         self.sieve = np.zeros(1 << bits, dtype=bool)
@@ -193,8 +203,10 @@ def banded_alignment_prefix(item: np.ndarray, text: np.ndarray, e: int) -> int:
     return max(0, len(item) - e + int(np.argmin(row)))
 
 
-def hits_of_batch(column, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits) over a text column; start and end count characters of the original text."""
+def hits_of_batch(column, items: Items) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item's id, start, end, edits, item's length) over a text column; start and end count characters of the original text."""
+    if items.brief is not None:
+        yield from hits_of_batch(column, items.brief)
     raw, offsets = text_buffers(column)
     for a, b in slices(offsets):
         part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -213,7 +225,7 @@ def hits_of_batch(column, items: Items) -> Iterator[tuple[int, int, int, int, in
                 whole = part[at[k] : at[k + 1]]
                 chars = np.concatenate([[0], np.cumsum((whole & 0xC0) != 0x80)])
                 for item, start, end, edits in spans:
-                    yield a + int(k), item, int(chars[place[start]]), int(chars[place[end - 1] + 1]), edits
+                    yield a + int(k), items.ids[item], int(chars[place[start]]), int(chars[place[end - 1] + 1]), edits, int(items.lengths[item])
 
 
 def item_blocks(benchmark: DataFrame, q: int, error_rate: float, block_chars: int, id_col: str, text_col: str) -> Iterator[Items]:
@@ -238,7 +250,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.
         def run(batches, items=items):
             for batch in batches:
                 ids = batch.column("id")
-                rows = [(ids[k].as_py(), items.ids[i], s, e, d, int(items.lengths[i])) for k, i, s, e, d in hits_of_batch(batch.column("text"), items)]
+                rows = [(ids[k].as_py(), *hit) for k, *hit in hits_of_batch(batch.column("text"), items)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "start", "end", "edits", "item_length"])
 
