@@ -66,6 +66,27 @@ def test_store_round_trip(spark, tmp_path):
     assert shard.read(10**9) is None and shard.find(np.array([10**9, -7]))[0][0] == -1
 
 
+def test_one_id_over_several_shards(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(5, " ".join(prose(rng, 8))) for _ in range(400)] + [(k, f"text {k}") for k in (-2, 1, 4, 6, 9)] + [(9, "again")]
+    base, path = f"file://{tmp_path}/s", P.path("word_bpe_49k.json")
+    manifest = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), base, path, 2, shards=4)
+    store, plain = token_store.TokenStore(base), tokenizers.Tokenizer.from_file(path)
+    assert len(manifest) > 1 and sum(s["low"] <= 5 <= s["high"] for s in store.shards) > 1
+    ids = lambda t: (*plain.encode(t, add_special_tokens=False).ids, 2)
+    assert sorted(tuple(store.get(5, k).tolist()) for k in range(400)) == sorted(ids(t) for i, t in rows if i == 5)
+    assert [store.get(5, 400), store.get(7), store.get(-3), store.get(10), store.get(4, 1)] == [None] * 5
+    assert tuple(store.get(-2).tolist()) == ids("text -2") and {tuple(store.get(9, k).tolist()) for k in (0, 1)} == {ids("text 9"), ids("again")}
+
+
+def test_very_long_text(spark, tmp_path):
+    rng = random.Random(7)
+    text, path = " ".join(prose(rng, 150_000)), P.path("word_bpe_49k.json")
+    base = f"file://{tmp_path}/long"
+    token_store.write_store(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), base, path, 2, shards=2)
+    assert token_store.TokenStore(base).get(1).tolist() == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_empty_store(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.store_documents(empty, P.path("word_bpe_49k.json"), 2, f"file://{tmp_path}/e").count() == 0

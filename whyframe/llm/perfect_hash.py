@@ -13,10 +13,10 @@ import numpy as np
 
 from .text_kernels import U64, mix
 
-_BLOCK = 512
+BLOCK = 512
 
 
-def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+def place_of(keys: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mix(keys ^ mix(np.array([level + 1], dtype=U64) * U64(0x9E3779B97F4A7C15))) % U64(size)).astype(np.int64)
 
 
@@ -26,7 +26,7 @@ class PerfectHash:
         self.levels = levels
         self.ranks, total = [], 0
         for bits in levels:
-            ones = np.bitwise_count(bits.reshape(-1, _BLOCK // 8)).sum(axis=1, dtype=np.int64)
+            ones = np.bitwise_count(bits.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.int64)
             self.ranks.append(total + np.concatenate([[0], np.cumsum(ones)[:-1]]))
             total += int(ones.sum())
         self.n = total
@@ -38,8 +38,8 @@ class PerfectHash:
         while len(left):
             if len(levels) > 200:
                 raise ValueError("keys must be distinct")
-            size = -(-max(_BLOCK, int(gamma * len(left))) // _BLOCK) * _BLOCK
-            place = _place(left, len(levels), size)
+            size = -(-max(BLOCK, int(gamma * len(left))) // BLOCK) * BLOCK
+            place = place_of(left, len(levels), size)
             alone = np.bincount(place, minlength=size)[place] == 1
             bits = np.zeros(size, dtype=np.uint8)
             bits[place[alone]] = 1
@@ -52,13 +52,13 @@ class PerfectHash:
         out = np.full(len(keys), -1, dtype=np.int64)
         open_ = np.arange(len(keys))
         for level, bits in enumerate(self.levels):
-            place = _place(keys[open_], level, len(bits) * 8)
+            place = place_of(keys[open_], level, len(bits) * 8)
             hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             found, at = open_[hit], place[hit]
-            block = at // _BLOCK
-            rows = bits.reshape(-1, _BLOCK // 8)[block]
-            inside = at % _BLOCK
-            byte = np.arange(_BLOCK // 8)
+            block = at // BLOCK
+            rows = bits.reshape(-1, BLOCK // 8)[block]
+            inside = at % BLOCK
+            byte = np.arange(BLOCK // 8)
             full = np.where(byte[None, :] < (inside >> 3)[:, None], np.bitwise_count(rows), 0).sum(axis=1, dtype=np.int64)
             last = np.bitwise_count(rows[np.arange(len(at)), inside >> 3] & ((1 << (inside & 7)) - 1).astype(np.uint8))
             out[found] = self.ranks[level][block] + full + last

@@ -4,18 +4,24 @@ A store is a folder of shards in ascending key order:
 
 - ``shard-00000.ids``: the documents' ids, one after the other, as unsigned
   little-endian 16-bit integers (32-bit where the vocabulary needs it).
-- ``shard-00000.idx``: the magic ``WFIDX1``, a JSON header with lengths, then
-  the bit arrays of the perfect hash, and by its index the fingerprint (32
-  bits), the first id and the number of ids of every document; last the keys
-  in order with their occurrence numbers, for scans.
-
-A key is looked up in its shard with one hash, one fingerprint comparison and
-one read. Keys are ids with an occurrence number, so that a repeated id keeps
-all its documents (0 for the first).
+- ``shard-00000.idx``: the magic ``WFIDX2``, a JSON header with lengths, then
+  the bit arrays of the perfect hash with the bits counted before each of their
+  blocks, and by its index the fingerprint (32 bits), the first id and the
+  number of ids of every document; last the keys in order with their occurrence
+  numbers, for scans.
+- ``manifest.json``: of each shard its number, documents, ids, smallest and
+  largest key and how often these stand in it.
+
+A key is looked up in constant time: the manifest names its shard, the perfect
+hash takes a block of bits and a count for each level (under two on average),
+and a fingerprint, a place and the ids are read, not the index as a whole. Keys
+are ids with an occurrence number, so that a repeated id keeps all its documents
+(0 for the first), also where they lie in several shards.
 
 Defined results: a null text is an empty text, which has the end id alone. Rows
-with a null id are left out. An empty table gives a store without shards. Extra
-columns are ignored.
+with a null id are left out. Repeated rows are documents of their own, in the
+order of a hash of their text. Long texts are encoded whole. An empty table
+gives a store without shards. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +29,10 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +42,13 @@ from pyspark.sql import functions as F
 
 from .common import as_id, new_path, partitions
 from .files import reading, writing
-from .perfect_hash import PerfectHash
+from .perfect_hash import BLOCK, PerfectHash, place_of
 from .text_kernels import U64, mix
 from .tokenizing import encoder, packed_documents
 
-MAGIC = b"WFIDX1\0\0"
-MANIFEST = pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
+MAGIC = b"WFIDX2\0\0"
+SHARD_BYTES = 128 << 20
+MANIFEST = pa.schema([("shard", pa.int32()), *[(n, pa.int64()) for n in ("documents", "tokens", "low", "high", "lows", "highs")]])
 
 
 def key_hashes(ids: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
@@ -63,34 +73,42 @@ def write_index(uri: str, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarr
     head = json.dumps({"n": len(ids), "dtype": dtype, "levels": [len(x) for x in table.levels]}).encode()
     with writing(uri) as f:
         f.write(MAGIC + struct.pack("<I", len(head)) + head)
-        for part in (*table.levels, prints, first, count, ids.astype("<i8"), occurrence):
+        for part in (*table.levels, *(r.astype("<i8") for r in table.ranks), prints, first, count, ids.astype("<i8"), occurrence):
             f.write(part.tobytes())
 
 
 class Shard:
-    """Keyed access to the documents of one shard."""
+    """Keyed access to the documents of one shard; occurrence numbers count within it."""
 
     def __init__(self, base: str, shard: int):
         self.uri = f"{base}/shard-{shard:05d}"
         with reading(f"{self.uri}.idx") as f:
-            data = f.read()
-        if data[:8] != MAGIC:
-            raise ValueError(f"{self.uri}.idx is no index")
-        (size,) = struct.unpack_from("<I", data, 8)
-        head, self.at = json.loads(data[12 : 12 + size]), 12 + size
+            if f.read(8) != MAGIC:
+                raise ValueError(f"{self.uri}.idx is no index")
+            (size,) = struct.unpack("<I", f.read(4))
+            head = json.loads(f.read(size))
         self.dtype, n = np.dtype(head["dtype"]), head["n"]
-        take = lambda kind, k: self._take(data, kind, k)
-        self.table = PerfectHash([take("u1", k) for k in head["levels"]])
-        self.prints, self.first, self.count = take("<u4", n), take("<u8", n).astype(np.int64), take("<u8", n).astype(np.int64)
-        self.ids, self.occurrence = take("<i8", n), take("<u4", n)
-
-    def _take(self, data: bytes, kind: str, n: int) -> np.ndarray:
-        out = np.frombuffer(data, kind, n, self.at)
-        self.at += out.nbytes
-        return out
+        self.parts, at = {}, 12 + size
+        sizes = [(f"level{i}", "u1", k) for i, k in enumerate(head["levels"])] + [(f"ranks{i}", "<i8", k * 8 // BLOCK) for i, k in enumerate(head["levels"])]
+        for name, kind, k in sizes + [("prints", "<u4", n), ("first", "<u8", n), ("count", "<u8", n), ("ids", "<i8", n), ("occurrence", "<u4", n)]:
+            self.parts[name] = (at, np.dtype(kind), k)
+            at += k * np.dtype(kind).itemsize
+        self.levels = len(head["levels"])
+
+    def _read(self, f, name: str, at: int, n: int) -> np.ndarray:
+        start, kind, _ = self.parts[name]
+        f.seek(start + at * kind.itemsize)
+        return np.frombuffer(f.read(n * kind.itemsize), kind)
+
+    def _column(self, name: str) -> np.ndarray:
+        with reading(f"{self.uri}.idx") as f:
+            return self._read(f, name, 0, self.parts[name][2])
 
     def find(self, ids: np.ndarray, occurrence: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(first id, number of ids) of each key; (-1, -1) where the shard hasn't got it."""
+        """(first id, number of ids) of each of many keys; (-1, -1) where the shard hasn't got it. Reads the index once."""
+        if not hasattr(self, "table"):
+            self.table = PerfectHash([self._column(f"level{i}") for i in range(self.levels)])
+            self.prints, self.first, self.count = self._column("prints"), self._column("first").astype(np.int64), self._column("count").astype(np.int64)
         keys = key_hashes(np.asarray(ids), np.zeros(len(ids), np.int64) if occurrence is None else occurrence)
         slot = self.table.index(keys)
         there = slot >= 0
@@ -99,19 +117,31 @@ class Shard:
         return pick(self.first), pick(self.count)
 
     def read(self, key: int, occurrence: int = 0) -> np.ndarray | None:
-        first, count = self.find(np.array([key]), np.array([occurrence]))
-        if first[0] < 0:
-            return None
+        """The ids of one key, or None, by a few short reads."""
+        keys = key_hashes(np.array([key]), np.array([occurrence]))
+        with reading(f"{self.uri}.idx") as f:
+            for i in range(self.levels):
+                block, inside = divmod(int(place_of(keys, i, self.parts[f"level{i}"][2] * 8)[0]), BLOCK)
+                bits = np.unpackbits(self._read(f, f"level{i}", block * BLOCK // 8, BLOCK // 8), bitorder="little")
+                if bits[inside]:
+                    slot = int(self._read(f, f"ranks{i}", block, 1)[0]) + int(bits[:inside].sum())
+                    break
+            else:
+                return None
+            if self._read(f, "prints", slot, 1)[0] != _fingerprints(keys)[0]:
+                return None
+            first, count = (int(self._read(f, name, slot, 1)[0]) for name in ("first", "count"))
         with reading(f"{self.uri}.ids") as f:
-            f.seek(int(first[0]) * self.dtype.itemsize)
-            return np.frombuffer(f.read(int(count[0]) * self.dtype.itemsize), self.dtype)
+            f.seek(first * self.dtype.itemsize)
+            return np.frombuffer(f.read(count * self.dtype.itemsize), self.dtype)
 
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(id, first id in the shard, ids) of every key in order, each found through the index."""
+        own, occurrence = self._column("ids"), self._column("occurrence")
         with reading(f"{self.uri}.ids") as f:
-            for at in range(0, len(self.ids), 4096):
-                ids = self.ids[at : at + 4096]
-                first, count = self.find(ids, self.occurrence[at : at + 4096])
+            for at in range(0, len(own), 4096):
+                ids = own[at : at + 4096]
+                first, count = self.find(ids, occurrence[at : at + 4096])
                 for key, a, n in zip(ids.tolist(), first.tolist(), count.tolist()):
                     if a < 0:
                         raise ValueError(f"{self.uri}: the index has lost key {key}")
@@ -119,18 +149,39 @@ class Shard:
                     yield key, a, np.frombuffer(f.read(n * self.dtype.itemsize), self.dtype)
 
 
+class TokenStore:
+    """Keyed access to a whole store: the manifest leads to the one shard that holds a key."""
+
+    def __init__(self, base: str):
+        self.base = base
+        with reading(f"{base}/manifest.json") as f:
+            self.shards = json.loads(f.read())
+        self.highs = [s["high"] for s in self.shards]
+
+    def get(self, key: int, occurrence: int = 0) -> np.ndarray | None:
+        """The ids of the document with this key, the ``occurrence``-th of a repeated one; None if there is none."""
+        for s in self.shards[bisect_left(self.highs, key) :]:
+            if key < s["low"]:
+                return None
+            if key < s["high"] or occurrence < s["highs"]:
+                return Shard(self.base, s["shard"]).read(key, occurrence)
+            occurrence -= s["highs"]
+        return None
+
+
 def write_store(docs: DataFrame, base: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[tuple[int, int, int]]:
     """Write the documents' ids to ``base`` in ascending id order; (shard, documents, tokens) of each shard.
 
     Shards are ranges of ids; repeated ids are told apart by their text, so a
-    hot id spreads over shards as well. A shard is written as a stream, and
-    only its index stays in memory.
+    hot id spreads over shards as well. There are as many as shuffle partitions,
+    and more where a shard would hold over SHARD_BYTES of text. A shard is
+    written as a stream, and only its index stays in memory.
     """
     spark = docs.sparkSession
 
     def run(batches):
         shard, dtype = TaskContext.get().partitionId(), None
-        ids, lengths = [], []
+        ids, lengths = array("q"), array("q")
         with writing(f"{base}/shard-{shard:05d}.ids") as f:
             for batch in batches:
                 dtype = encoder(tokenizer).dtype
@@ -138,14 +189,22 @@ def write_store(docs: DataFrame, base: str, tokenizer: str, end_id: int, id_col:
                     f.write(data)
                     ids.append(doc)
                     lengths.append(len(data) // dtype.itemsize)
-        lengths = np.array(lengths, dtype=np.int64)
-        write_index(f"{base}/shard-{shard:05d}.idx", np.array(ids, dtype=np.int64), np.cumsum(lengths) - lengths, lengths, (dtype or np.dtype("<u2")).str)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], schema=MANIFEST)
+        ids, lengths = np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64)
+        write_index(f"{base}/shard-{shard:05d}.idx", ids, np.cumsum(lengths) - lengths, lengths, (dtype or np.dtype("<u2")).str)
+        low, high = (int(ids[0]), int(ids[-1])) if len(ids) else (0, 0)
+        row = [shard, len(ids), int(lengths.sum()), low, high, int((ids == low).sum()), int((ids == high).sum())]
+        yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, row))], schema=MANIFEST)
 
     plain = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL")
-    ordered = plain.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards or partitions(spark), "id", "tie").sortWithinPartitions("id", "tie").drop("tie")
-    done = ordered.mapInArrow(run, "shard int, documents long, tokens long").collect()  # one row for each shard
-    return sorted((r.shard, r.documents, r.tokens) for r in done if r.documents)
+    if shards is None:
+        size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(partitions(spark), -(-size // SHARD_BYTES))
+    ordered = plain.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie").drop("tie")
+    schema = "shard int, documents long, tokens long, low long, high long, lows long, highs long"
+    done = ordered.mapInArrow(run, schema).where("documents > 0").orderBy("shard").collect()  # one row for each shard
+    with writing(f"{base}/manifest.json") as f:
+        f.write(json.dumps([r.asDict() for r in done]).encode())
+    return [(r.shard, r.documents, r.tokens) for r in done]
 
 
 def read_store(spark: SparkSession, base: str, manifest: list[tuple[int, int, int]]) -> DataFrame:
@@ -158,8 +217,9 @@ def read_store(spark: SparkSession, base: str, manifest: list[tuple[int, int, in
     def run(batches):
         for batch in batches:
             for shard, base_id in zip(batch.column("shard").to_pylist(), batch.column("before").to_pylist()):
-                out = [(key, base_id + a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for key, a, x in Shard(base, shard).documents()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = ((key, base_id + a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for key, a, x in Shard(base, shard).documents())
+                while out := list(islice(found, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame(rows, "shard int, before long").repartition(max(1, len(rows)))
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
