@@ -126,3 +126,65 @@ def test_witness_sets_are_sufficient_and_deleting_them_all_is_fatal(spark, seed)
         gone |= {w[0] for x in others for w in x.why}
         load(lambda x: x not in gone)
         assert target not in {tuple(x) for x in spark.sql(sql).collect()}
+
+
+def test_table_names_in_any_case(spark, tables):
+    register(spark, {"Nation": spark.table("nation")})
+    got = sql_with_why(spark, "SELECT n_name FROM NATION x WHERE n_nationkey = 3", tables={"Nation"}).collect()
+    assert [r.why for r in got] == [[["nation_4"]]]
+
+
+def test_made_up_names_give_no_ids(spark, tables):
+    for sql in ("SELECT n_nationkey FROM VALUES (1), (2) AS nation(n_nationkey)", "WITH nation AS (SELECT 1 AS n_nationkey) SELECT n_nationkey FROM nation", "SELECT id FROM range(3) nation"):
+        assert all(r.why == [[]] for r in sql_with_why(spark, sql, tables=TABLES).collect()), sql
+    got = sql_with_why(spark, "SELECT n_name FROM (SELECT r_name AS n_name FROM region WHERE r_regionkey = 1) nation", tables=TABLES).collect()
+    assert [r.why for r in got] == [[["region_2"]]]
+
+
+def test_tables_without_ids_are_refused(spark, tables, tmp_path):
+    spark.table("nation").write.parquet(f"{tmp_path}/n")
+    with pytest.raises(NotImplementedError):
+        sql_with_why(spark, f"SELECT n_name FROM parquet.`{tmp_path}/n`", tables=TABLES)
+
+
+def test_a_column_named_why_is_refused(spark, tables):
+    with pytest.raises(ValueError):
+        sql_with_why(spark, "SELECT n_name, 'x' AS Why FROM nation", tables=TABLES)
+
+
+SUMMARISED = [
+    "SELECT n_name FROM nation WHERE n_nationkey < 3",
+    "SELECT r.r_name, count(*) c FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name HAVING count(*) > 2 ORDER BY 1",
+    "SELECT DISTINCT n_regionkey FROM nation",
+    "SELECT count(DISTINCT n_name) c, sum(n_nationkey) s FROM nation",
+    "SELECT count(*) c FROM nation WHERE n_nationkey < 0",
+    "SELECT n_regionkey, r_name, count(*) c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (n_regionkey, r_name)",
+    "SELECT c, count(*) n FROM (SELECT n_regionkey, count(*) c FROM nation GROUP BY 1) x GROUP BY c",
+    "SELECT r_name FROM region UNION SELECT n_name FROM nation",
+    "SELECT r_name, count(*) c FROM region LEFT JOIN nation ON r_regionkey = n_regionkey AND n_nationkey < 4 GROUP BY r_name",
+]
+
+
+def test_counts_and_digests_say_what_the_sets_say(spark, tables):
+    for sql in SUMMARISED:
+        full = {tuple(r)[:-1]: r.why for r in sql_with_why(spark, sql, tables=TABLES).collect()}
+        counts = {tuple(r)[:-1]: r.why for r in sql_with_why(spark, sql, "count", TABLES).collect()}
+        assert counts == {k: len(v) for k, v in full.items()}, sql
+        digests = {tuple(r)[:-1]: r.why for r in sql_with_why(spark, sql, "digest", TABLES).collect()}
+        same = {}
+        for k, v in full.items():
+            same.setdefault(tuple(map(tuple, v)), set()).add(digests[k])
+        assert all(len(v) == 1 for v in same.values()) and len({*map(tuple, same.values())}) == len(same), sql
+
+
+def test_digests_don_t_depend_on_the_plan(spark, tables):
+    """The same witnesses summed with and without sets."""
+    flat = sql_with_why(spark, "SELECT n_regionkey k FROM nation GROUP BY n_regionkey", "digest", TABLES)
+    sets = sql_with_why(spark, "SELECT DISTINCT k FROM (SELECT DISTINCT n_regionkey k FROM nation)", "digest", TABLES)
+    assert {tuple(r) for r in flat.collect()} == {tuple(r) for r in sets.collect()}
+
+
+def test_counts_and_digests_collect_no_sets(spark, tables):
+    for mode in ("count", "digest"):
+        plan = sql_with_why(spark, SUMMARISED[1], mode, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan and "collect_list" not in plan

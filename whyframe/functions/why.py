@@ -43,6 +43,17 @@ def canonical(p: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(p, lambda w: F.sort_array(w))))
 
 
+def digest(p: Column) -> Column:
+    """A 64-bit fingerprint of the distinct sets, whatever their order."""
+    marks = F.array_distinct(F.transform(p, lambda w: F.xxhash64(w)))
+    return F.xxhash64(F.size(marks).cast("long"), F.aggregate(marks, F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(m)))
+
+
+def digest_of_marks(mark: str) -> Column:
+    """Aggregate: ``digest`` from a column with the hash of each row's one set."""
+    return F.expr(f"xxhash64(count(DISTINCT `{mark}`), coalesce(bit_xor(DISTINCT `{mark}`), 0L))")
+
+
 def formula(p: Column) -> Column:
     """Boolean formula, sets in the order given: ``a OR (b AND c)``; an empty set prints as ``()``."""
     text = lambda w: F.when(F.size(w) == 1, w[0]).otherwise(F.concat(F.lit("("), F.array_join(w, " AND "), F.lit(")")))

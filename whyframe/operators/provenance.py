@@ -29,6 +29,9 @@ from ..sources.catalog import row_id
 
 WHY = "why"
 MODES = ("full", "count", "digest", "off")
+#: Nodes with one child that keep rows, or keep some of them, as they are.
+ROWWISE = ("Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Window", "Generate", "ResolvedHint", "Repartition", "RepartitionByExpression", "WithWindowDefinition", "Tail", "Sample")
+CONSTANT = ("LocalRelation", "OneRowRelation", "Range", "EmptyRelation")
 
 
 @dataclass
@@ -38,12 +41,14 @@ class Annotated:
     plan: object
     names: list[str]
     flat: bool
+    summed: bool = False
 
 
 class Rewriter:
     def __init__(self, spark: SparkSession, rid: Callable[[str, list[str]], Column] = row_id, hashed: bool = False):
         self.c, self.rid, self.hashed, self.next = Catalyst(spark), rid, hashed, count()
         self.tables: list[str] = []
+        self.mode, self.top = "full", None
 
     def fresh(self) -> str:
         return f"__w{next(self.next)}"
@@ -87,18 +92,23 @@ class Rewriter:
         if kind == "SubqueryAlias":
             return self.annotate(node.child(), node.alias())
         if kind == "View":
-            if table and table.lower() in self.base:
-                return self._leaf(node, table.lower())
-            return self.annotate(node.child(), table)
+            name = node.desc().identifier().table().lower()  # not an alias that the query made up
+            return self._leaf(node, name) if name in self.base else self.annotate(node.child())
         found = getattr(self, f"_on_{kind.replace(' ', '_').lower()}", None)
         if found is not None:
             return found(node)
         children = self.c.children(node)
         if not children:
-            return self._leaf(node, table.lower()) if table and table.lower() in self.base else Annotated(node, [], True)
-        if len(children) == 1 and kind in ("Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Window", "Generate", "ResolvedHint", "Repartition", "RepartitionByExpression", "WithWindowDefinition", "Tail", "Sample"):
+            if kind in CONSTANT:
+                return Annotated(node, [], True)
+            if kind == "LogicalRelation" and node.catalogTable().isDefined():
+                name = node.catalogTable().get().identifier().table().lower()
+                if name in self.base:
+                    return self._leaf(node, name)
+            raise NotImplementedError(f"rows of {table or kind} have no ids: it isn't a registered table")
+        if len(children) == 1 and kind in ROWWISE:
             x = self.annotate(children[0])
-            return Annotated(node.withNewChildren(self.c.seq([x.plan])), x.names, x.flat)
+            return Annotated(node.withNewChildren(self.c.seq([x.plan])), x.names, x.flat, x.summed)
         raise NotImplementedError(f"no provenance rule for {kind}")
 
     def _leaf(self, node, table: str) -> Annotated:
@@ -110,14 +120,32 @@ class Rewriter:
     def _on_project(self, node) -> Annotated:
         x = self.annotate(node.child())
         kept = [self._attr(x.plan, n) for n in x.names]
-        return Annotated(self.c.make("Project", self.c.seq([*self.c.items(node.projectList()), *kept]), x.plan), x.names, x.flat)
+        return Annotated(self.c.make("Project", self.c.seq([*self.c.items(node.projectList()), *kept]), x.plan), x.names, x.flat, x.summed)
 
     def _on_aggregate(self, node) -> Annotated:
-        return self._summed(self.annotate(node.child()), self.c.items(node.groupingExpressions()), self.c.items(node.aggregateExpressions()))
+        return self._grouped(node, self.annotate(node.child()), self.c.items(node.groupingExpressions()), self.c.items(node.aggregateExpressions()))
 
     def _on_distinct(self, node) -> Annotated:
-        x, output = self.annotate(node.child()), self.c.items(node.child().output())
-        return self._summed(x, output, output)
+        output = self.c.items(node.child().output())
+        return self._grouped(node, self.annotate(node.child()), output, output)
+
+    def _grouped(self, node, x: Annotated, grouping: list, outputs: list) -> Annotated:
+        """As ``_summed``, but the last sum of a query whose rows have one witness each needs no sets in modes count and digest."""
+        if self.top is None or not node.fastEquals(self.top) or not x.flat or not x.names:
+            return self._summed(x, grouping, outputs)
+        name = self.fresh()
+        mark = F.xxhash64(why.witness(*[F.col(n) for n in x.names]))
+        plan = self._with(x.plan, name, mark)
+        total = why.digest_of_marks(name) if self.mode == "digest" else F.count_distinct(name)
+        alias = self.c.items(self.c.plan_of(self.c.frame(plan).agg(total.alias(name + "s"))).aggregateExpressions())[0]
+        made = self.c.make("Aggregate", self.c.seq(grouping), self.c.seq([*outputs, alias]), plan, getattr(getattr(self.c.jvm, "scala.None$"), "MODULE$"))
+        return Annotated(made, [name + "s"], False, True)
+
+    def _last_sum(self, node):
+        """The topmost aggregate or DISTINCT if only row-wise nodes stand above it."""
+        while node.nodeName() in (*ROWWISE, "Project", "SubqueryAlias"):
+            node = self.c.children(node)[0]
+        return node if node.nodeName() in ("Aggregate", "Distinct") else None
 
     def _on_expand(self, node) -> Annotated:
         x = self.annotate(node.child())
@@ -204,16 +232,24 @@ class Rewriter:
 
     # whole queries
 
-    def run(self, sql: str, base: set[str]) -> tuple[DataFrame, Column]:
-        """The annotated query, with columns of its own, and its provenance."""
-        self.base = base
+    def run(self, sql: str, base: set[str], mode: str = "full") -> DataFrame:
+        """The annotated query, with columns of its own, and its provenance as ``mode`` asks."""
+        self.base, self.mode = {t.lower() for t in base}, mode
         plan = self.c.analyzed(sql)
+        if any(a.name().lower() == WHY for a in self.c.items(plan.output())):
+            raise ValueError(f"the query has a column {WHY}, which names the provenance: give it another name")
+        self.top = None if mode == "full" else self._last_sum(plan)
         x = self.annotate(plan)
-        value = F.array(why.witness(*[F.col(n) for n in x.names])) if x.flat and x.names else None
-        if value is None:
-            x = self._as_sets(x)
-            value = why.canonical(F.col(x.names[0]))
-        return self.c.frame(x.plan).withColumn(WHY, value).drop(*x.names), F.col(WHY)
+        if x.summed:
+            value = F.col(x.names[0])
+        else:
+            if x.flat and x.names:
+                value = F.array(why.witness(*[F.col(n) for n in x.names]))
+            else:
+                x = self._as_sets(x)
+                value = why.canonical(F.col(x.names[0]))
+            value = {"full": value, "count": F.size(value).cast("long"), "digest": why.digest(value)}[mode]
+        return self.c.frame(x.plan).withColumn(WHY, value).drop(*x.names)
 
 
 def base_tables(spark: SparkSession) -> set[str]:
@@ -226,12 +262,15 @@ def sql_with_why(spark: SparkSession, sql: str, prov: str = "full", tables: set[
 
     prov: ``full`` for the witness sets, ``count`` for their number, ``digest``
     for a 64-bit fingerprint of the hashed sets, ``off`` for the plain query.
+    Where a query's last sum is over rows with one witness each, ``count`` and
+    ``digest`` are aggregates over 64-bit hashes of distinct witnesses (a count
+    is then one too low if two of n witnesses share a hash, odds n * n / 2**65).
+
+    Tables without row ids, such as files named by their path, are refused, as
+    is a column of the name ``why``; constant rows have the empty witness set.
     """
     if prov not in MODES:
         raise ValueError(f"prov must be one of {MODES}")
     if prov == "off":
         return spark.sql(sql)
-    df, value = Rewriter(spark, hashed=prov == "digest").run(sql, tables or base_tables(spark))
-    if prov == "count":
-        return df.withColumn(WHY, F.size(value).cast("long"))
-    return df.withColumn(WHY, F.xxhash64(value)) if prov == "digest" else df
+    return Rewriter(spark, hashed=prov == "digest").run(sql, tables or base_tables(spark), prov)
