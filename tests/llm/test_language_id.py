@@ -43,6 +43,32 @@ def test_equals_plain_bayes(spark):
         assert names[k] == model.languages[int(np.argmax(z))] and abs(scores[k] - 1 / p.sum()) < 1e-9
 
 
+def test_equals_a_count_of_characters(spark):
+    """Counts and scores from scratch, by n-grams as texts; 22 bits keep these few apart."""
+    from collections import Counter
+    from math import exp, log
+
+    rows = corpus(60, 4) + [(900, "日本語 の ruñe", "dd"), (901, "BA ba", "dd"), (902, "", "aa")]
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    grams = lambda t: Counter(t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1))
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), bits=22)
+    names = sorted({x for _, _, x in rows})
+    counts = {x: sum((grams(low(t)) for _, t, y in rows if y == x), Counter()) for x in names}
+    total, documents = {x: sum(c.values()) for x, c in counts.items()}, Counter(x for *_, x in rows)
+    texts = [t for _, t, _ in rows[::7]] + ["語", "ruñe que", "xyz" * 100_000]
+    got, scores = model.predict(pa.array(texts))
+    for text, name, score in zip(texts, got, scores):
+        z = {x: log(documents[x] / len(rows)) + sum(k * (log(counts[x][g] + 0.5) - log(total[x] + 0.5 * 2**22)) for g, k in grams(low(text)).items()) for x in names}
+        best = max(names, key=z.get)
+        assert name == best and abs(score - 1 / sum(exp(v - z[best]) for v in z.values())) < 1e-6
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = train(spark.createDataFrame([(1, "abc", "yy"), (2, "abc", "xx")], "doc_id long, text string, lang string"))
+    names, scores = model.predict(pa.array(["abc", "q"]))
+    assert names == ["xx", "xx"] and np.allclose(scores, 0.5)
+
+
 def test_odd_rows(spark):
     rows = [(1, "", "aa"), (2, None, "aa"), (3, "12 .,!", "bb"), (None, "bake lomi", "aa"), (5, "bake lomi", None), (6, "schung ver", "bb"), (7, "ré", "aa"), (7, "ré", "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS chunk", "2 AS score", "'x' AS lang_pred")

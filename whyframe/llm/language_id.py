@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of hashed byte n-grams by language are gathered from every training
-document, the smoothed log-probability matrix (slots by languages, its size
+Counts of hashed n-grams of one to four characters (A-Z in lower case) by
+language are gathered from every training document, the smoothed log-probability matrix (slots by languages, its size
 fixed by parameters) is sent to the executors, and batches of whole texts are
 scored with numpy: a document's score is the sum of the matrix rows of its
 n-grams.
@@ -10,7 +10,9 @@ Defined results: a text that is null or has no letter is ``und`` with score
 0.0. Documents with a null language or null text aren't learned from. With no
 training document at all every text is ``und`` with score 0.0. Ties go to the
 language that comes first in alphabetical order. Rows with a null id keep their row,
-with a null id; repeated rows each have their own. Extra columns are ignored.
+with a null id; repeated rows each have their own. Long texts count whole, in
+slices of their own. Extra columns are ignored. The matrix is sent to every
+executor, so more than ``MAX_LANGUAGES`` languages are an error, not cut off.
 """
 
 from __future__ import annotations
@@ -22,36 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_id, stage
-from .text_kernels import _FOLD, U64, _BASE, _INVERSE, _TABLE, _power, mix, slices, text_buffers
+from .text_kernels import _FOLD, U64, prefix_sums, slices, span_hashes, text_buffers
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 512
 
 
-def ngram_slots(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """The hashed slot of the n-gram that starts at each byte (fewer than n bytes: none)."""
-    sums = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(_TABLE[raw] * _power(_BASE, len(raw)), out=sums[1:])
-    count = len(raw) - n + 1
-    if count <= 0:
-        return np.zeros(0, np.int64)
-    return (mix((sums[n:] - sums[:-n]) * _power(_INVERSE, count) + U64(n)) >> U64(64 - bits)).astype(np.int64)
-
-
 def document_slots(column, orders: tuple[int, ...], bits: int):
-    """(first row, last row, slots, document of each slot) for slices of a text column; n-grams stay within a document."""
+    """(first row, last row, slots, document of each slot) for slices of a text column; an n-gram is n characters of one document."""
     raw, offsets = text_buffers(column)
     for a, b in slices(offsets):
         part, at = _FOLD[raw[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-        lengths = np.diff(at)
-        document = np.repeat(np.arange(b - a, dtype=np.int32), lengths)
+        sums = prefix_sums(part)
+        begins = np.flatnonzero((part & 0xC0) != 0x80)  # bytes that start a character
+        document = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(at))[begins]
+        begins = np.append(begins, len(part))
         slots, owners = [], []
         for n in orders:
-            s = ngram_slots(part, n, bits)
-            own = document[: len(s)]
-            inside = own == document[n - 1 :] if len(s) else np.zeros(0, dtype=bool)
-            slots.append(s[inside])
-            owners.append(own[inside])
+            inside = document[: len(document) - n + 1] == document[n - 1 :]
+            first = begins[: len(inside)][inside]
+            slots.append((span_hashes(sums, first, begins[n : len(inside) + n][inside]) >> U64(64 - bits)).astype(np.int64))
+            owners.append(document[: len(inside)][inside])
         yield a, b, slots, owners
 
 
