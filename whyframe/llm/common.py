@@ -18,11 +18,15 @@ BATCH_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) is a local folder
-    made and recorded in the session's configuration.
+    Only where the setting is absent and Spark runs in one process (tests) is a
+    local folder made and recorded in the session's configuration; on a cluster
+    the executors couldn't see it, so there the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="whyframe-")
         atexit.register(shutil.rmtree, local, True)
         found = f"file://{local}"

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_id, new_path
+from .common import as_id, new_path, partitions
 from .files import reading, writing
 
 MAGIC = b"\x1f\x8b\x08"
@@ -180,9 +180,12 @@ def members(f, start: int, end: int) -> Iterator[bytes]:
         window.forget(at)
 
 
+#: Ranges share tasks beyond so many.
+MOST_TASKS = 20_000
+
+
 def read_archives(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """One row for each record, from byte ranges of ``split`` bytes each."""
-    ranges = [(path, a, min(a + split, size)) for path, size in archives for a in range(0, size, split)]
+    """One row for each record, from byte ranges of ``split`` bytes each, which are dealt out on the executors."""
 
     def run(batches):
         for batch in batches:
@@ -201,7 +204,11 @@ def read_archives(spark: SparkSession, archives: list[tuple[str, int]], split: i
                 if rows:
                     yield _batch(rows)
 
-    table = spark.createDataFrame(ranges, "path string, start long, end long").repartition(max(1, len(ranges)))
+    known = spark.createDataFrame([a for a in archives if a[1]], "path string, size long")
+    ranges = known.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split, "size").alias("end"))
+    tasks = sum(-(-size // split) for _, size in archives)
+    table = ranges.repartition(min(max(1, tasks), max(MOST_TASKS, partitions(spark))))
     return table.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
