@@ -76,8 +76,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str, rows: int) -> DataFrame:
+    """As ``stage``, dealt by ``key`` into buckets of at most about ``rows`` rows: joins by the key don't shuffle it again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    n = max(partitions(spark), -(-df.count() // rows))
+    table_name = f"whyframe_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table_name)
+    out = spark.table(table_name)
+    out._staged_path, out._staged_table = path, table_name
+    return out
+
+
 def unstage(*frames: DataFrame) -> None:
     for df in frames:
+        if getattr(df, "_staged_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._staged_table}")
         path = getattr(df, "_staged_path", None)
         if path:
             drop_path(df.sparkSession, path)
