@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.catalog import CATALOG
 from ..sources.tables import RID, tagged
 
 
@@ -13,7 +14,7 @@ def leaf_scan(spark: SparkSession, table: str, columns: list[str] | None = None,
     df = spark.table(table)
     for p in predicates:
         df = df.where(p)
-    return tagged(df, table).select(RID, *(columns or [c for c in df.columns if c != RID]))
+    return tagged(df, table if table in CATALOG else table.lower()).select(RID, *(columns or [c for c in df.columns if c != RID]))
 
 
 def leaf_json(leaf: DataFrame) -> DataFrame:
