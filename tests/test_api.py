@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from whyframe.api import Engine, RequestError
 from whyframe.sources.eventlog import EventLog
@@ -51,3 +52,32 @@ def test_bad_requests(engine, messages, route):
 def test_bad_answers(engine):
     with pytest.raises(RequestError):
         engine.explain("?", "{}")
+
+
+def test_search_finds_rows_by_a_question(engine, tmp_path):
+    embed = lambda text: F.array(*[F.size(F.split(F.lower(text), c)).cast("double") for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
+    path = f"file://{tmp_path}/vectors"
+    got = engine.search("r_regionkey: 1 | r_name: R1", embed, path, max_rows=3)
+    assert got[0]["rid"] == "region_2" and got[0]["row"]["r_name"] == "R1" and len(got) == 3
+    assert got == engine.search("r_regionkey: 1 | r_name: R1", embed, path, max_rows=3)
+    assert len({r["table"] for r in engine.search("nation", embed, path, max_tables=1, max_rows=9)}) == 1
+    kinds = [r.type for r in engine.log.read().collect()]
+    assert kinds.count("index_built") == 1 and kinds.count("index_loaded") >= 2
+
+
+def test_models_and_debug(engine):
+    assert {m["id"] for m in engine.models()} == {"planner_first", "sql"}
+    assert engine.debug()["sql"] is None
+    engine.query("SELECT n_name FROM nation WHERE n_name < 'z'").collect()
+    view = engine.debug()
+    assert view["plan"]["leaf_tasks"][0]["local_predicates"] == ["n_name < 'z'"] and "Physical Plan" in view["physical"]
+    page = engine.debug(as_html=True)
+    assert "n_name &lt; &#x27;z&#x27;" in page and "<script" not in page
+
+
+def test_planner_failures_are_request_errors(engine):
+    for sql in ("INSERT INTO nation SELECT * FROM nation", "SELECT 1 +"):
+        with pytest.raises(RequestError):
+            engine.chat([{"role": "user", "content": sql}], route="planner_first")
+    got = json.loads(engine.chat([{"role": "user", "content": "WITH x AS (SELECT r_regionkey FROM region WHERE r_regionkey = 1) SELECT n_name FROM NATION JOIN x ON n_regionkey = r_regionkey"}], route="planner_first"))
+    assert [[r["row_id"] for r in x["rows"]] for x in got["leaf_outputs"]] == [["nation_1", "nation_2", "nation_3", "nation_4"], ["region_2"]]

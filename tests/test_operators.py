@@ -1,8 +1,11 @@
 """Tables, answers, leaf scans, retrieval, logs and model hooks."""
 
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
+from whyframe.functions.text import html_escape
 from whyframe.operators import answers, leaves, models, retrieval
 from whyframe.sources import catalog, tables
 from whyframe.sources.eventlog import EventLog
@@ -151,3 +154,48 @@ def test_batched_search_in_blocks(spark):
     for i in range(0, 30, 4):
         near = sorted((sum((a - b) ** 2 for a, b in zip(points[i], points[j])), j) for j in points if j != i)[:3]
         assert sorted(w[1] for w in whole if w[0] == i) == sorted(j for _, j in near)
+
+
+def test_every_try_is_noted_and_later_ones_carry_a_hint():
+    prompts, notes = [], []
+
+    class Client:
+        def generate(self, prompt, temperature=0.0, timeout=0):
+            prompts.append(prompt)
+            return "no" if len(prompts) < 2 else "[]"
+
+    models.ask_for_array(Client(), "q", tries=3, note=lambda kind, **fields: notes.append((kind, fields["attempt"], fields["ok_json_array"])))
+    assert prompts == ["q", f"q\n\n{models.HINT}"] and notes == [("attempt", 1, False), ("attempt", 2, True)]
+
+
+def test_index_is_saved_loaded_and_built_again(spark, tmp_path):
+    nation = spark.createDataFrame([(0, "A"), (1, "B")], "n_nationkey int, n_name string")
+    path, notes = f"file://{tmp_path}/index", []
+    note = lambda kind, **fields: notes.append(kind)
+    build = lambda: retrieval.index_documents({"nation": nation})
+    first = sorted(map(tuple, retrieval.load_or_build(spark, path, build, note).collect()))
+    assert first == sorted(map(tuple, retrieval.load_or_build(spark, path, lambda: 1 / 0, note).collect())) and len(first) == 2
+    spark.range(3).write.mode("overwrite").parquet(path)  # not an index
+    assert retrieval.load_or_build(spark, path, build, note).count() == 2
+    assert notes == ["index_not_loaded", "index_built", "index_loaded", "index_not_loaded", "index_built"]
+    with pytest.raises(ValueError):
+        retrieval.save_index(retrieval.index_documents({"nation": nation.where("false")}), path)
+
+
+def test_ids_are_pushed_as_keys(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders")
+    spark.range(10).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem")
+    data = {t: spark.read.parquet(f"{tmp_path}/{t}") for t in ("orders", "lineitem")}
+    found = tables.look_up(data, ["orders_5", "orders_x", "orders_5000", "lineitem_3_1_3", "nation_1"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(o_orderkey, [4,4999])" in plan and "EqualTo(l_orderkey,3)" in plan and "Exchange" not in plan
+    assert sorted(r.rid for r in found.collect()) == ["lineitem_3_1_3", "orders_5"]
+    assert tables.look_up(data, ["nation_1", "part_2"]) is None
+    few = spark.createDataFrame([(1, [["orders_5"], ["orders_0"]])], "id int, provenance array<array<string>>")
+    missing = answers.missing_ids(few, tables.rid_index(data))
+    assert [r.rid for r in missing.collect()] == ["orders_0"] and "row" not in missing.columns
+
+
+def test_html_escape(spark):
+    text = """<a href="x">R&D &amp; 'q'</a>"""
+    assert spark.range(1).select(html_escape(F.lit(text))).first()[0] == html.escape(text)

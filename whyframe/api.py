@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import why
@@ -26,7 +29,8 @@ class Engine:
     """Queries over a set of tables, each a DataFrame with or without a ``<table>_rownum`` column."""
 
     def __init__(self, spark: SparkSession, data: dict[str, DataFrame], log: EventLog | None = None, client: models.ModelClient | None = None):
-        self.spark, self.data, self.log, self.client = spark, data, log, client
+        self.spark, self.data, self.log, self.client = spark, {n.lower(): df for n, df in data.items()}, log, client
+        self.last: dict = {}
         tables.register(spark, data)
 
     @classmethod
@@ -47,6 +51,7 @@ class Engine:
     def query(self, sql: str, prov: str = "full") -> DataFrame:
         """The query's rows with column ``why``."""
         self._note("query", sql=sql, prov=prov)
+        self.last = {"sql": sql, "prov": prov}
         return sql_with_why(self.spark, sql, prov, set(self.data))
 
     def answer(self, sql: str) -> DataFrame:
@@ -63,9 +68,12 @@ class Engine:
 
     def resolve(self, rids: list[str]) -> dict[str, dict | None]:
         """A stated list of ids: {table, rid, row} of each, None for unknown ones."""
-        asked = self.spark.createDataFrame([(r,) for r in dict.fromkeys(rids)], "rid string")
-        found = tables.resolve(F.broadcast(asked), self.index()).collect() if rids else []
-        return {r.rid: None if r.table_name is None else {"table": r.table_name, "rid": r.rid, "row": r.row} for r in found}
+        rids = [r for r in dict.fromkeys(rids) if r]
+        found: dict[str, dict] = {}
+        for k in range(0, len(rids), 1000):
+            some = tables.look_up(self.data, rids[k : k + 1000])
+            found |= {r.rid: {"table": r.table_name, "rid": r.rid, "row": r.row} for r in (some.collect() if some is not None else [])}
+        return {r: found.get(r) for r in rids}
 
     def explain(self, question: str, answer_text: str) -> dict:
         """Check, resolve and explain one answer text. Faults of the provenance are listed and don't stop it."""
@@ -100,11 +108,55 @@ class Engine:
         if route == "sql":
             return "[" + ",".join(r.answer for r in self.answer(question).toLocalIterator()) + "]"
         if route == "planner_first":
-            done = self.planner_first(question)
+            try:
+                done = self.planner_first(question)
+            except (ValueError, PySparkException) as e:
+                raise RequestError(f"no plan: {str(e).splitlines()[0]}") from e
             return json.dumps({**done, "leaf_outputs": [{"task": x["task"], "rows": [json.loads(r.leaf) for r in x["rows"].toLocalIterator()]} for x in done["leaf_outputs"]]}, ensure_ascii=False)
         if self.client is None:
             raise RequestError("no model was handed in")
-        return models.ask_for_array(self.client, models.answer_prompt(question, list(context)), models.ANSWER_TRIES, temperature)
+        return models.ask_for_array(self.client, models.answer_prompt(question, list(context)), models.ANSWER_TRIES, temperature, self._note)
 
     def retrieve(self, hits: DataFrame, max_rows: int = retrieval.MAX_ROWS, max_tables: int = retrieval.MAX_TABLES) -> DataFrame:
         return retrieval.capped(hits, self.index(), max_rows, max_tables)
+
+    def search(self, question: str, embed: Callable[[Column], Column], path: str, allow: list[str] | None = None, k: int = retrieval.TOP_K, max_rows: int = retrieval.MAX_ROWS, max_tables: int = retrieval.MAX_TABLES) -> list[dict]:
+        """The rows nearest to a question, best first: {table, rid, row}; the index is loaded from ``path`` or built there.
+
+        ``embed`` maps a text column to a column of vectors, for the rows and
+        for the question alike.
+        """
+        saved = retrieval.load_or_build(self.spark, path, lambda: retrieval.index_documents(self.data, allow, embed), self._note)
+        vector = self.spark.range(1).select(embed(F.lit(question)).alias("v")).first().v
+        nearest = retrieval.vector_top_k(saved, F.lit([float(x) for x in vector]), k, id_col="rid").collect()
+        if not nearest:
+            return []
+        hits = self.spark.createDataFrame([(i, r.rid) for i, r in enumerate(nearest)], "rank int, rid string")
+        known = tables.look_up(self.data, [r.rid for r in nearest])
+        if known is None:
+            return []
+        best = retrieval.capped(hits, known, max_rows, max_tables).orderBy("rank").collect()
+        rows = self.resolve([r.rid for r in best])
+        self._note("retrieval", question=question, rows=[r.rid for r in best])
+        return [rows[r.rid] for r in best]
+
+    def models(self) -> list[dict]:
+        """What ``chat`` can be asked for: the routes, in the form of a model list."""
+        return [{"id": route, "object": "model"} for route in ROUTES if route != "direct" or self.client is not None]
+
+    def debug(self, as_html: bool = False) -> dict | str:
+        """The last query with its descriptor and its formatted physical plan, as a dict or as a page."""
+        if not self.last:
+            view = {"sql": None, "plan": None, "physical": None}
+        else:
+            sql, prov = self.last["sql"], self.last["prov"]
+            df = sql_with_why(self.spark, sql, prov, set(self.data))
+            try:
+                plan = self.plan(sql)
+            except ValueError as e:
+                plan = {"error": str(e)}
+            view = {"sql": sql, "plan": plan, "physical": self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")}
+        if not as_html:
+            return view
+        part = lambda name, value: f"<h2>{name}</h2><pre>{html.escape(value if isinstance(value, str) else json.dumps(value, indent=1, ensure_ascii=False))}</pre>"
+        return "<!doctype html><title>last query</title>" + "".join(part(n, v) for n, v in view.items())

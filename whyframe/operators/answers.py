@@ -102,7 +102,7 @@ def validate(answers: DataFrame, index: DataFrame, key: str = "id", prov: str =
     empty = sets.where(F.size("witness") == 0).select(key, "set_no", F.lit("empty").alias("problem"), F.lit(None).cast("string").alias("rid"))
     twice = sets.where(F.size("witness") != F.size(F.array_distinct("witness"))).select(key, "set_no", F.lit("repeated id").alias("problem"), F.lit(None).cast("string").alias("rid"))
     ids = sets.select(key, "set_no", F.explode("witness").alias("rid"))
-    unknown = ids.join(index.select("rid"), "rid", "left_anti").select(key, "set_no", F.lit("unknown id").alias("problem"), "rid")
+    unknown = ids.join(missing_ids(answers, index, prov), "rid", "left_semi").select(key, "set_no", F.lit("unknown id").alias("problem"), "rid")
     ordered = answers.select(key, F.transform(prov, lambda w: F.sort_array(w)).alias("p"))
     again = ordered.select(key, F.posexplode(F.transform("p", lambda w, i: F.array_position(F.col("p"), w) < i + 1)).alias("set_no", "late")).where("late")
     repeated = again.select(key, "set_no", F.lit("repeated set").alias("problem"), F.lit(None).cast("string").alias("rid"))
@@ -110,9 +110,14 @@ def validate(answers: DataFrame, index: DataFrame, key: str = "id", prov: str =
 
 
 def missing_ids(answers: DataFrame, index: DataFrame, prov: str = "provenance") -> DataFrame:
-    """(rid): the ids that no table has, each once."""
+    """(rid): the ids that no table has, each once.
+
+    The index is cut to the asked ids first, a join whose right side, the ids,
+    AQE can broadcast; so the tables aren't shuffled for a few answers.
+    """
     ids = answers.select(F.explode(F.flatten(prov)).alias("rid")).distinct()
-    return ids.join(index.select("rid"), "rid", "left_anti")
+    known = index.select("rid").join(ids, "rid", "left_semi")
+    return ids.join(known, "rid", "left_anti")
 
 
 def formulas(answers: DataFrame, key: str = "id", prov: str = "provenance") -> DataFrame:

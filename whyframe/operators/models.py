@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Protocol
 
 # Defaults of the calls.
@@ -11,6 +12,8 @@ LEAF_TRIES = 3
 ANSWER_TRIES = 2
 EXPLAIN_TRIES = 2
 
+HINT = "Your last reply was no JSON array. Reply with the JSON array alone: no prose around it and no code fence."
+
 
 class ModelClient(Protocol):
     def generate(self, prompt: str, temperature: float = 0.0, timeout: float = TIMEOUT_SECONDS) -> str: ...
@@ -23,12 +26,14 @@ def is_array_text(text: str) -> bool:
         return False
 
 
-def ask_for_array(client: ModelClient, prompt: str, tries: int = ANSWER_TRIES, temperature: float = 0.0) -> str:
-    """The first reply that is a JSON array, or the last reply."""
+def ask_for_array(client: ModelClient, prompt: str, tries: int = ANSWER_TRIES, temperature: float = 0.0, note: Callable[..., None] = lambda kind, **fields: None) -> str:
+    """The first reply that is a JSON array, or the last reply; later tries carry a hint, and every try is noted."""
     reply = ""
-    for _ in range(max(1, tries)):
-        reply = client.generate(prompt, temperature=temperature, timeout=TIMEOUT_SECONDS)
-        if is_array_text(reply):
+    for attempt in range(1, max(1, tries) + 1):
+        reply = client.generate(prompt if attempt == 1 else f"{prompt}\n\n{HINT}", temperature=temperature, timeout=TIMEOUT_SECONDS)
+        good = is_array_text(reply)
+        note("attempt", attempt=attempt, ok_json_array=good, preview=reply[:200])
+        if good:
             break
     return reply
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.catalog import aliases_frame, references_frame
@@ -36,6 +38,34 @@ def index_documents(tables: dict[str, DataFrame], allow: list[str] | None = None
     return out if embed is None else out.withColumn("embedding", embed(F.col("text")))
 
 
+def save_index(documents: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Write an index and read it back; rows without text are left out, an empty index is an error.
+
+    Rows are embedded and written task by task in record batches, so no batch
+    grows with the table; files hold at most ``rows_per_file`` rows.
+    """
+    documents.where(F.col("text") != "").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    saved = documents.sparkSession.read.parquet(path)
+    if saved.isEmpty():
+        raise ValueError("no rows to index")
+    return saved
+
+
+def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], note: Callable[..., None] = lambda kind, **fields: None) -> DataFrame:
+    """The index saved at a path; where there is none, or it can't be read, it is built and saved."""
+    try:
+        saved = spark.read.parquet(path)
+        if not {"table_name", "rid", "text"} <= set(saved.columns):
+            raise ValueError("not an index")
+        note("index_loaded", path=path)
+        return saved
+    except (AnalysisException, ValueError, Py4JJavaError) as e:
+        note("index_not_loaded", path=path, error=str(e).split("\n")[0][:200])
+    saved = save_index(build(), path)
+    note("index_built", path=path, rows=saved.count())
+    return saved
+
+
 def l2_squared(a: Column, b: Column) -> Column:
     """Squared Euclidean distance in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import why
+from .functions.text import html_escape
 from .operators import answers, leaves, retrieval
 from .operators.provenance import WHY, sql_with_why
+from .plans.descriptor import describe
 from .sources import catalog, tables
 from .sources.tables import RID
 
@@ -259,6 +261,50 @@ def _resolve(spark, t):
     return tables.resolve(_candidates(spark, t), tables.rid_index(t)).select("rid", "table_name", F.col("row").isNotNull().alias("found"))
 
 
+_EXPLAINED = f"""SELECT r.r_name AS id, 'Question: How many nations has each region?' || chr(10) || 'Result: {{"r_name":"' || r.r_name || '","c":' || count(*) || '}}' || chr(10) || 'Provenance, ' || count(*) || ' derivation(s):' || chr(10)
+|| string_agg('- ' || n.rid || ' (n_name ' || n.n_name || ', n_nationkey ' || n.n_nationkey || ', n_regionkey ' || n.n_regionkey || ') together with ' || r.rid || ' (r_name ' || r.r_name || ', r_regionkey ' || r.r_regionkey || ')', chr(10) ORDER BY n.rid) AS explanation
+FROM {N} n JOIN {R} r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name"""
+
+
+def _leaf_ids(spark: SparkSession, t: dict[str, DataFrame], sql: str) -> DataFrame:
+    """(leaf_no, table_name, rid): what the leaves of a query's descriptor read."""
+    tables.register(spark, t)
+    out = None
+    for i, (task, df) in enumerate(leaves.run_leaves(spark, describe(spark, sql))):
+        part = df.select(F.lit(i).alias("leaf_no"), F.lit(task["table_name"].lower()).alias("table_name"), F.col(RID).alias("rid"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _leaf_sql(*scans: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS leaf_no, '{name}' AS table_name, rid FROM {_t(name)} WHERE {where}" for i, (name, where) in enumerate(scans))
+
+
+_LEAF_QUERIES = {
+    "of_cte": (
+        "WITH rich AS (SELECT c.c_nationkey FROM customer c WHERE c.c_acctbal > 9000) SELECT n.n_name, count(*) c FROM nation n JOIN rich ON n.n_nationkey = rich.c_nationkey WHERE n.n_regionkey = 1 GROUP BY n.n_name",
+        _leaf_sql(("nation", "n_regionkey = 1"), ("customer", "c_acctbal > 9000")),
+    ),
+    "of_in_subquery": (
+        "SELECT s.s_name FROM supplier s WHERE s.s_acctbal > 0 AND s.s_nationkey IN (SELECT n.n_nationkey FROM nation n WHERE n.n_regionkey = 2)",
+        _leaf_sql(("supplier", "s_acctbal > 0"), ("nation", "n_regionkey = 2")),
+    ),
+    "of_any_case": ("SELECT N.n_name FROM nation n WHERE N.N_NATIONKEY < 3", _leaf_sql(("nation", "n_nationkey < 3"))),
+    "of_outer_join": (
+        "SELECT n.n_name, c.c_name FROM nation n LEFT JOIN customer c ON n.n_nationkey = c.c_nationkey AND c.c_acctbal > 9000 WHERE n.n_regionkey = 1 AND c.c_mktsegment IS NULL",
+        _leaf_sql(("nation", "n_regionkey = 1"), ("customer", "c_acctbal > 9000")),
+    ),
+    "of_on_conjuncts": (
+        "SELECT o.o_orderkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_nationkey = 3 AND o.o_totalprice > 100000",
+        _leaf_sql(("orders", "o_totalprice > 100000"), ("customer", "c_nationkey = 3")),
+    ),
+    "of_derived_table": (
+        "SELECT x.n_name, r.r_name FROM (SELECT n_name, n_regionkey FROM nation WHERE n_nationkey > 5) x JOIN region r ON x.n_regionkey = r.r_regionkey WHERE r.r_name <> 'ASIA'",
+        _leaf_sql(("region", "r_name <> 'ASIA'"), ("nation", "n_nationkey > 5")),
+    ),
+}
+
+
 def _questions(spark: SparkSession) -> DataFrame:
     rows = [(1, "How many customers are there per nation?"), (2, "Which part suppliers are late?"), (3, "hello"), (4, "Total price of orders"), (5, "Line items of each region's orders"), (6, "")]
     return spark.createDataFrame(rows, "id int, question string")
@@ -336,7 +382,7 @@ def _fetch(t: dict[str, DataFrame]) -> DataFrame:
 def _explain(spark, t):
     df = sql_with_why(spark, "SELECT r.r_name, count(*) AS c FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name", tables=set(TABLES))
     rows = df.select(F.col("r_name").alias("id"), F.to_json(F.struct("r_name", "c")).alias("result"), F.col("why").alias("provenance"))
-    return answers.explain_rows(rows, "How many nations has each region?", tables.rid_index({k: t[k] for k in ("nation", "region")}))
+    return answers.explain_rows(rows, "How many nations has each region?", tables.rid_index(t))
 
 
 def _digest(spark, t):
@@ -418,17 +464,17 @@ SELECT id, table_name FROM n UNION SELECT n.id, other FROM n JOIN m USING (id) J
         "SELECT * FROM (VALUES (0, NULL, NULL::BIGINT), (1, 'root not an array', -1), (2, 'invalid JSON', -1), (3, 'item not an object', 0), (4, 'wrong keys', 0), (5, 'result not an object', 0), (6, 'provenance not a list', 0), (7, 'id not a string', 0), (8, NULL, NULL)) t(id, problem, item)",
     ),
     "missing_ids": (
-        _with_tables(lambda s, t: answers.missing_ids(_answers(s), tables.rid_index({"customer": t["customer"]}))),
-        f"WITH {_ANSWERS} SELECT DISTINCT rid FROM (SELECT unnest(w) AS rid FROM s) WHERE rid NOT IN (SELECT rid FROM {C})",
+        _with_tables(lambda s, t: answers.missing_ids(_answers(s), tables.rid_index(t))),
+        f"WITH {_ANSWERS} SELECT DISTINCT rid FROM (SELECT unnest(w) AS rid FROM s) WHERE rid NOT IN (SELECT rid FROM ({_INDEX}))",
     ),
     "validate_prov": (
-        _with_tables(lambda s, t: answers.validate(_answers(s), tables.rid_index({"customer": t["customer"]})).withColumn("set_no", F.col("set_no").cast("long"))),
+        _with_tables(lambda s, t: answers.validate(_answers(s), tables.rid_index(t)).withColumn("set_no", F.col("set_no").cast("long"))),
         f"""WITH {_ANSWERS},
 u AS (SELECT id, set_no, unnest(w) AS rid FROM s),
 d AS (SELECT id, set_no, row_number() OVER (PARTITION BY id, list_sort(w) ORDER BY set_no) AS k FROM s)
 SELECT id, set_no, 'empty' AS problem, NULL::VARCHAR AS rid FROM s WHERE len(w) = 0
 UNION ALL SELECT id, set_no, 'repeated id', NULL FROM s WHERE len(w) <> len(list_distinct(w))
-UNION ALL SELECT id, set_no, 'unknown id', rid FROM u WHERE rid NOT IN (SELECT rid FROM {C})
+UNION ALL SELECT id, set_no, 'unknown id', rid FROM u WHERE rid NOT IN (SELECT rid FROM ({_INDEX}))
 UNION ALL SELECT id, set_no, 'repeated set', NULL FROM d WHERE k > 1""",
     ),
     "schema_subset": (
@@ -439,7 +485,12 @@ UNION ALL SELECT id, set_no, 'repeated set', NULL FROM d WHERE k > 1""",
         _with_tables(_digest),
         f"SELECT r.r_name, n.n_name, count(*) AS items, CAST(sum(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, count(DISTINCT concat_ws(',', l.rid, o.rid, c.rid, n.rid, r.rid)) AS why FROM {L} l JOIN {O} o ON l.l_orderkey = o.o_orderkey JOIN {C} c ON o.o_custkey = c.c_custkey JOIN {N} n ON c.c_nationkey = n.n_nationkey JOIN {R} r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY r.r_name, n.n_name",
     ),
-    "explain_text": (_with_tables(_explain), None),
+    "html_escape": (
+        lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", html_escape(F.col("html")).alias("escaped")),
+        "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') AS escaped FROM pages",
+    ),
+    **{f"leaves_{name}": (_with_tables(lambda s, t, sql=sql: _leaf_ids(s, t, sql)), oracle) for name, (sql, oracle) in _LEAF_QUERIES.items()},
+    "explain_text": (_with_tables(_explain), _EXPLAINED),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql_query(name) for name in SQL} | {name: run for name, (run, _) in OTHERS.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import CATALOG, row_id
@@ -62,12 +62,38 @@ def rid_index(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def resolve(rids: DataFrame, index: DataFrame) -> DataFrame:
-    """Left join of (rid) with the index: unknown ids have a null table and row.
+    """(rid, table_name, row): unknown ids have a null table and row.
 
-    The index side is read with its own columns only, and AQE broadcasts the
-    ids where they are few.
+    The index is joined inner, so that AQE can broadcast the ids where they are
+    few and no table is shuffled; what was found is then as small as the ids.
     """
-    return rids.join(index, "rid", "left")
+    found = index.join(rids.select("rid").distinct(), "rid")
+    return rids.join(found, "rid", "left")
+
+
+def key_filter(table: str, columns: list[str], rids: list[str]) -> Column | None:
+    """A filter on the table's own columns that keeps at least the rows with these ids, or None if no row can have them."""
+    if f"{table}_rownum" in columns:
+        return F.trim(F.col(f"{table}_rownum")).isin(rids)
+    parts = [r.removeprefix(f"{table}_").split("_") for r in rids if r.startswith(f"{table}_")]
+    key = CATALOG[table].primary_key[0] if table in CATALOG else None
+    if key is None or key not in columns:
+        return F.lit(True) if parts else None
+    first = 1 if len(CATALOG[table].primary_key) == 1 else 0
+    whole = [int(p[0]) - first for p in parts if p[0].removeprefix("-").isdigit() and len(p[0]) <= 18]
+    return F.col(key).isin(sorted(set(whole))) if whole else None
+
+
+def look_up(tables: dict[str, DataFrame], rids: list[str]) -> DataFrame | None:
+    """(table_name, rid, row) of a stated list of ids; key values are pushed into each table's scan.
+
+    Tables that can't hold any of the ids aren't read; None if no table can.
+    """
+    some = {}
+    for name, df in tables.items():
+        if (keep := key_filter(name, df.columns, rids)) is not None:
+            some[name] = df.where(keep)
+    return rid_index(some).where(F.col("rid").isin(rids)) if some else None
 
 
 def known_tables() -> list[str]:
