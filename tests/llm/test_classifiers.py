@@ -1,11 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from whyframe.llm import licences, toxicity
-from whyframe.llm.licence_texts import NAMES
+from whyframe.llm.licence_texts import NAMES, templates
 
 from .helpers import prose
 
@@ -79,7 +80,7 @@ LINES = {"Licensed under the Apache License, Version 2.0.": "apache-2.0", "Relea
 
 def test_families(spark, model):
     rng = random.Random(3)
-    rows = [(k, "\n".join([" ".join(prose(rng, 20)), line, " ".join(prose(rng, 20))])) for k, line in enumerate(LINES)]
+    rows = [(k, "\n".join([" ".join(prose(rng, 20)) + ".", line, " ".join(prose(rng, 20))])) for k, line in enumerate(LINES)]
     rows += [(50, "He renewed his driving license at the hall."), (51, " ".join(prose(rng, 300)))]
     got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert {k: got[k].family for k in range(len(LINES))} == dict(enumerate(LINES.values()))
@@ -99,7 +100,45 @@ def test_dataframe_path_equals_plain_scoring(spark, model):
         assert ((k, 0) in got) == (best != licences.PLAIN), text
         if best != licences.PLAIN:
             assert abs(got[(k, 0)].probability - p[best]) < 1e-6
-            assert got[(k, 0)].family == (best if p[best] >= model.surety else licences.UNKNOWN)
+            words = re.findall("[a-z0-9]+", text.lower())
+            own = {*words, *map(" ".join, zip(words, words[1:]))}
+            shares = [0.0]
+            for template in templates().get(best, []):
+                t = re.findall("[a-z0-9]+", template.lower())
+                pairs = {*map(" ".join, zip(t, t[1:]))} or {*t}
+                shares.append(len(pairs & own) / len(pairs))
+            assert abs(got[(k, 0)].template_similarity - max(shares)) < 1e-9
+            assert got[(k, 0)].family == (best if max(shares) >= 0.8 or p[best] >= model.surety and max(shares) >= 0.5 else licences.UNKNOWN)
+            assert got[(k, 0)].confirmed == (best != licences.UNKNOWN and max(shares) >= 0.8)
+
+
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+STRANGERS = [
+    "Licensed under the Eclipse Public License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "Do What The Fuck You Want To Public License, Version 2",
+    "Released under the Artistic License 2.0.",
+]
+
+
+def test_wrapped_texts_and_unseen_families(spark, model):
+    texts = [MIT_TEXT, BSD_TEXT, "Title\n" + MIT_TEXT + "\n\nThe end", *STRANGERS]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [(got[k].family, got[k].confirmed, got[k].paragraph) for k in range(3)] == [("mit", True, 0), ("bsd", True, 0), ("mit", True, 1)]
+    assert [got[k].family for k in range(3, len(texts))] == [licences.UNKNOWN] * len(STRANGERS)
+
+
+def test_paragraphs(spark):
+    text = "Short line\n" + "a long line that goes on and on until it wraps\nhere. \nNext\n\nLast one is long enough to be wrapped, or so\n \nx"
+    got = spark.createDataFrame([(text,)], "t string").select(F.split("t", licences.PARAGRAPHS, -1)).first()[0]
+    assert [p for p in got if p] == ["Short line", "a long line that goes on and on until it wraps\nhere.", "Next", "Last one is long enough to be wrapped, or so", "x"]
 
 
 def test_no_python_on_the_way(spark, model):
@@ -109,8 +148,8 @@ def test_no_python_on_the_way(spark, model):
 
 
 def test_odd_documents(spark, model):
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "\n\n"), (None, "All rights reserved."), (4, "All rights reserved."), (4, "All rights reserved."), (5, "w " * 300_000 + "\nReleased under the MIT License.")], "doc_id long, text string").selectExpr("*", "1 AS p", "2 AS words", "3 AS best", "4 AS total")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "\n\n"), (None, "All rights reserved."), (4, "All rights reserved."), (4, "All rights reserved."), (5, "w " * 300_000 + ".\nReleased under the MIT License.")], "doc_id long, text string").selectExpr("*", "1 AS p", "2 AS words", "3 AS best", "4 AS total")
     got = sorted((str(r.doc_id), r.family) for r in licences.scan_licences(odd, model).collect())
     assert got == [("4", "proprietary"), ("4", "proprietary"), ("5", "mit"), ("None", "proprietary")]
     assert licences.scan_licences(odd.where("false"), model).count() == 0
-    assert licences.plain_paragraphs(odd, 10) == sorted({"w " * 300_000})
+    assert licences.plain_paragraphs(odd, 10) == sorted({"w " * 300_000 + "."})

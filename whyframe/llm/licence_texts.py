@@ -6,6 +6,8 @@ lead-ins and names by rule.
 
 from __future__ import annotations
 
+import re
+
 NAMES: dict[str, list[str]] = {
     "mit": ["MIT License", "MIT licence", "X11 License"],
     "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"],
@@ -106,6 +108,27 @@ def examples() -> list[tuple[str, str]]:
     return out
 
 
+def unknown_examples() -> list[tuple[str, str]]:
+    """("unknown", paragraph): licence wording that tells no family.
+
+    Names lose the words that fewer than a third of the families have; notices
+    keep every second word, so that no pair of theirs stays.
+    """
+    words = lambda text: [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    held = {f: {w for t in ts for w in words(t)} for f, ts in templates().items()}
+    common = {w for ws in held.values() for w in ws if 3 * sum(w in other for other in held.values()) >= len(held)}
+    out = []
+    for name in sorted({n for names in NAMES.values() for n in names}):
+        left = [w for w in words(name) if w in common]
+        if {"license", "licence"} & {*left} and len(left) < len(words(name)):
+            out += [("unknown", lead.format(" ".join(left))) for lead in LEAD_INS]
+    for texts in NOTICES.values():
+        for text in texts:
+            if len(words(text)) >= 8:
+                out += [("unknown", " ".join(words(text)[k::2])) for k in (0, 1)]
+    return out
+
+
 def templates() -> dict[str, list[str]]:
     """For each family the texts that confirm it."""
     return {f: NAMES.get(f, []) + NOTICES.get(f, []) for f in {**NAMES, **NOTICES}}
