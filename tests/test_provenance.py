@@ -188,3 +188,11 @@ def test_counts_and_digests_collect_no_sets(spark, tables):
     for mode in ("count", "digest"):
         plan = sql_with_why(spark, SUMMARISED[1], mode, TABLES)._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_large_groups_take_no_pairwise_comparison(spark):
+    sets = spark.range(60_000).selectExpr("array(concat('a', id % 40000), 'b') AS w").agg(F.collect_list("w").alias("p"))
+    got = sets.select(why.canonical(F.col("p")).alias("p")).first().p
+    assert [tuple(w) for w in got] == sorted((f"a{i}", "b") for i in range(40_000))
+    odd = spark.createDataFrame([(None,), ([],), ([["b", "a"], ["a", "b"], []],)], "p array<array<string>>")
+    assert [r[0] for r in odd.select(why.canonical(F.col("p"))).collect()] == [None, [], [[], ["a", "b"]]]
