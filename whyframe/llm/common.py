@@ -83,7 +83,7 @@ def stage_bucketed(df: DataFrame, name: str, key: str, rows: int) -> DataFrame:
     table_name = f"whyframe_{uuid.uuid4().hex}"
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table_name)
     out = spark.table(table_name)
-    out._staged_path, out._staged_table = path, table_name
+    out._staged_path, out._staged_table, out._buckets = path, table_name, n
     return out
 
 

@@ -76,6 +76,12 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kmeans import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, salt="2:")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -87,8 +93,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_toxicity": op9_toxicity,
     "op10_token_id_output": op10_token_id_output,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
+def _kmeans_sql(k: int = 40, rounds: int = 5, width: int = 64, scale: int = 256, salt: str = "2:") -> str:
+    """Plain rounds: every vector against every centroid."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id), e) - 1 AS j, e FROM v QUALIFY j < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v.e) AS e, min({{'d': list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'j': j}}) AS m FROM v, c{i} c GROUP BY r)")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT m.j AS j, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM a{i}),
+f{i} AS (SELECT j, p, sum(x) AS s, count(*) AS n FROM s{i} GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(n.e, c.e) AS e FROM c{i} c LEFT JOIN (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS e FROM f{i} GROUP BY j) n ON n.j = c.j)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, m.j::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.j)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.m.j"""
+
+
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""
@@ -117,4 +142,5 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f""",
+    "op11_centroid_clustering": _kmeans_sql(),
 }
