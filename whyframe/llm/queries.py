@@ -82,6 +82,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, salt="2:")
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_alignment import cross_tokenizer_alignment
+
+    return cross_tokenizer_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), links="ends")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_id_output": op10_token_id_output,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 def _kmeans_sql(k: int = 40, rounds: int = 5, width: int = 64, scale: int = 256, salt: str = "2:") -> str:
