@@ -37,7 +37,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -49,7 +49,8 @@ from .common import as_id, stage
 from .tokenizing import _kind, _visible_bytes
 
 BLOCK = 8 << 20
-ROOM = 300_000
+SLICE = 1 << 18
+ROOM = 600_000
 LINKS = ("ends", "overlap", "group")
 _PIECES = re.compile(r"[ \n][^ \n]*")
 #: White space, old and new, before a blank or a line break: no cut there.
@@ -59,11 +60,14 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _workers: dict[tuple, Aligner] = {}
 
 
-def pieces_of(text: str) -> Iterator[str]:
+def pieces_of(text: str) -> Iterable[str]:
     """A text that begins with a space, cut where neither tokenizer joins."""
-    if not _NO_CUT.search(text):
-        yield from (m[0] for m in _PIECES.finditer(text))
-        return
+    if _NO_CUT.search(text):
+        return _joined_pieces(text)
+    return _PIECES.findall(text) if len(text) <= SLICE else (m[0] for m in _PIECES.finditer(text))
+
+
+def _joined_pieces(text: str) -> Iterator[str]:
     held = ""
     for m in _PIECES.finditer(text):
         if held and not _SPACE.search(held):
@@ -124,80 +128,119 @@ def group_products(a: np.ndarray, b: np.ndarray, closes: np.ndarray) -> tuple[np
 
 
 class Aligner:
-    """Aligns pieces and whole texts; keeps what it has seen in a bounded table."""
+    """Aligns pieces and whole texts; keeps what it has seen in a table of two bounded generations."""
 
     def __init__(self, path_a: str, path_b: str, links: str):
         self.a, self.bytes_a, cut_a = byte_tokens(path_a)
         self.b, self.bytes_b, cut_b = piece_tokens(path_b)
         self.cut, self.links = cut_a and cut_b, links
         self.len_a, self.len_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.blank = self.bytes_b.index(b" ") if b" " in self.bytes_b else -1
+        self.blank = self.b.piece_to_id("▁")
+        #: How a token is written: within its group, and as its group's last one.
+        self.spelt = [f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"]
         self.known: dict[str, tuple | None] = {}
-
-    def _encoded(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers for texts that begin with a space, or a line break in the middle of a text."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        ids_b = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        return ids_a, [x[1:] if p[0] == "\n" and x[:1] == [self.blank] else x for p, x in zip(parts, ids_b)]
+        self.older: dict[str, tuple | None] = {}
+
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both tokenizers for a text that begins with a space, or a line break in the middle of a text; None: bytes differ."""
+        ids_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids_b = self.b.encode(text[1:] if text[0] == " " else text)
+        ids_b = ids_b[1:] if text[0] != " " and ids_b[:1] == [self.blank] else ids_b
+        raw = text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+            return None
+        return np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
 
     def align(self, parts: list[str]) -> list[tuple | None]:
-        """(groups as text, codes of the linked id pairs, n_a, n_b, n_groups) of each part; None: bytes differ."""
-        ids_a, ids_b = self._encoded(parts)
-        raw = [p.encode() for p in parts]
-        ok = [b"".join(map(self.bytes_a.__getitem__, x)) == r and b"".join(map(self.bytes_b.__getitem__, y)) == r for x, y, r in zip(ids_a, ids_b, raw)]
-        out: list[tuple | None] = [None] * len(parts)
-        good = [i for i, x in enumerate(ok) if x]
-        if not good:
-            return out
-        flat_a, flat_b = (np.fromiter((t for i in good for t in ids[i]), np.int64) for ids in (ids_a, ids_b))
-        a, b, closes = elementary(np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b]))
-        left, right = (a[closes], b[closes]) if self.links == "ends" else (a, b) if self.links == "overlap" else group_products(a, b, closes)
-        codes = (flat_a[left] << 32) | flat_b[right]
-        # a part's last tokens close its last group, so parts are ranges of tokens, groups and links
-        stop_a, stop_b = (np.cumsum([len(ids[i]) for i in good]) for ids in (ids_a, ids_b))
-        stop_links = np.searchsorted(left, stop_a)
-        last_a, last_b = a[closes].tolist(), b[closes].tolist()
-        stop_groups = np.searchsorted(a[closes], stop_a).tolist()
-        names_a, names_b = [str(x) for x in flat_a.tolist()], [str(x) for x in flat_b.tolist()]
-        told, x, y = [], 0, 0
-        for p, q in zip(last_a, last_b):
-            told.append(",".join(names_a[x : p + 1]) + "|" + ",".join(names_b[y : q + 1]))
-            x, y = p + 1, q + 1
-        g, k, n_a, n_b = 0, 0, 0, 0
-        for i, groups, links, sa, sb in zip(good, stop_groups, stop_links.tolist(), stop_a.tolist(), stop_b.tolist()):
-            out[i] = (";".join(told[g:groups]), codes[k:links].tobytes(), sa - n_a, sb - n_b, groups - g)
-            g, k, n_a, n_b = groups, links, sa, sb
+        """(groups as text, codes of the linked id pairs, (n_a, n_b, n_groups) in one number) of each part; None: bytes differ.
+
+        Several parts must end where neither tokenizer joins; they are encoded side by side as one text.
+        """
+        found = self._ids("".join(parts))
+        if found is None:
+            return [None] if len(parts) == 1 else [x for p in parts for x in self.align([p])]
+        ids_a, ids_b = found
+        stops = np.cumsum([len(p.encode()) for p in parts])
+        ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
+        a, b, closes = elementary(ends_a, ends_b)
+        last_a, last_b = a[closes], b[closes]
+        left, right = (last_a, last_b) if self.links == "ends" else (a, b) if self.links == "overlap" else group_products(a, b, closes)
+        codes = (ids_a[left] << 32) | ids_b[right]
+        # a group's A tokens, then its B tokens, each with the mark that follows it
+        group_a, group_b = np.searchsorted(last_a, np.arange(len(ids_a))), np.searchsorted(last_b, np.arange(len(ids_b)))
+        final_a, final_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+        final_a[last_a], final_b[last_b] = 1, 1
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        spelt = list(map(self.spelt.__getitem__, np.concatenate([2 * ids_a + final_a, 2 * (len(self.bytes_a) + ids_b) + final_b])[order].tolist()))
+        # parts are ranges of tokens, groups and links, since their ends are shared
+        stop_a, stop_b = np.searchsorted(ends_a, stops) + 1, np.searchsorted(ends_b, stops) + 1
+        stop_groups, stop_links = np.searchsorted(last_a, stop_a), np.searchsorted(left, stop_a)
+        sums = [x | y << 31 | z << 62 for x, y, z in zip(*(np.diff(x, prepend=0).tolist() for x in (stop_a, stop_b, stop_groups)))]
+        out, t, k, raw = [], 0, 0, codes.tobytes()
+        for tokens, links, total in zip((stop_a + stop_b).tolist(), (8 * stop_links).tolist(), sums):
+            out.append(("".join(spelt[t:tokens]), raw[k:links], total))
+            t, k = tokens, links
         return out
 
-    def learn(self, parts: set[str]) -> None:
-        if len(self.known) + len(parts) > ROOM:
-            self.known.clear()
-        todo = list(parts)
-        self.known.update(zip(todo, self.align(todo)))
+    def learn(self, new: set[str]) -> None:
+        todo = []
+        for p in new:
+            if p in self.older:
+                self.known[p] = self.older[p]
+            elif _SPACE.search(p):  # the end of a text: it would run into what follows
+                self.known[p] = self.align([p])[0]
+            else:
+                todo.append(p)
+        for at in range(0, len(todo), 2048):
+            part = todo[at : at + 2048]
+            self.known.update(zip(part, self.align(part)))
+
+    def _looked_up(self, parts: list[str]) -> list[tuple | None]:
+        wanted = set(parts)
+        new = wanted.difference(self.known)
+        if new and len(self.known) + len(new) > ROOM // 2:
+            self.older, self.known, new = self.known, {}, wanted
+        if new:
+            self.learn(new)
+        return list(map(self.known.__getitem__, parts))
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[str, bytes, int, int, int]]:
+        """(digest of the groups, codes of the linked id pairs, n_a, n_b, n_groups) of whole texts."""
+        at = 0
+        while at < len(texts):
+            end, room = at, SLICE
+            while end < len(texts) and (room > 0 or end == at):
+                room -= len(texts[end] or "")
+                end += 1
+            if end - at > 1 and self.cut:
+                self._looked_up([p for t in texts[at:end] if t and len(t) <= SLICE for p in pieces_of(" " + t)])
+            yield from map(self.document, texts[at:end])
+            at = end
 
     def document(self, text: str | None) -> tuple[str, bytes, int, int, int]:
-        """(digest of the groups, codes of the linked id pairs, n_a, n_b, n_groups) of a whole text."""
         nothing = ("", b"", 0, 0, 0)
         if not text:
             return nothing
-        full, digest, codes, totals, first = " " + text, hashlib.sha256(), [], np.zeros(3, dtype=np.int64), True
-        parts = pieces_of(full) if self.cut else iter(())
+        full, digest, codes, total, held = " " + text, hashlib.sha256(), [], 0, ""
+        parts = iter(pieces_of(full)) if self.cut else iter(())
         while batch := list(islice(parts, 1 << 14)):
-            new = {p for p in batch if p not in self.known}
-            if new:
-                self.learn(new | set(batch) if len(self.known) + len(new) > ROOM else new)
-            found = [self.known[p] for p in batch]
+            found = self._looked_up(batch)
             if None in found:
-                totals, codes, first = np.zeros(3, dtype=np.int64), [], True
+                codes = []
                 break
-            digest.update((("" if first else ";") + ";".join([x[0] for x in found])).encode())
-            codes.append(b"".join([x[1] for x in found]))
-            totals += np.array([sum([x[j] for x in found]) for j in (2, 3, 4)])
-            first = False
-        if first:  # not cut, or a piece differs
+            told, raw, sums = zip(*found)
+            told = "".join(told)
+            digest.update((held + told[:-1]).encode())
+            held = told[-1]
+            codes.append(b"".join(raw))
+            total += sum(sums)
+        if not codes:  # not cut, or a piece differs
             whole = self.align([full])[0]
-            return nothing if whole is None else (hashlib.sha256(whole[0].encode()).hexdigest(), *whole[1:])
-        return (digest.hexdigest(), b"".join(codes), *totals.tolist())
+            if whole is None:
+                return nothing
+            digest, codes, total = hashlib.sha256(whole[0][:-1].encode()), [whole[1]], whole[2]
+        low = (1 << 31) - 1
+        return digest.hexdigest(), b"".join(codes), total & low, total >> 31 & low, total >> 62
 
 
 def aligner(path_a: str, path_b: str, links: str) -> Aligner:
@@ -234,10 +277,10 @@ def _align(path_a: str, path_b: str, links: str, room_of_block: int):
         tool, rows, room, block = aligner(path_a, path_b, links), [], room_of_block, None
         for batch in batches:
             numbers, ids, texts = batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("text")
-            for j, doc in enumerate(ids):
-                text = texts[j].as_py()
-                block = numbers[j] if block is None else block
-                rows.append((doc, *tool.document(text)))
+            texts = texts.to_pylist()
+            for number, doc, text, found in zip(numbers, ids, texts, tool.documents(texts)):
+                block = number if block is None else block
+                rows.append((doc, *found))
                 room -= len(text or "") + 64
                 if room <= 0:
                     yield packed(block, rows)
