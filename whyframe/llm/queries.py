@@ -82,6 +82,13 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, salt="2:")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import fit, personal_data
+    from .pii_table import labelled_lines
+
+    return personal_data(table(spark, sf_dir, "documents"), fit(labelled_lines(rows=900)))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_id_output": op10_token_id_output,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_pii": op12_pii,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 

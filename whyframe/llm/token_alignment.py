@@ -54,8 +54,8 @@ ROOM = 600_000
 LINKS = ("ends", "overlap", "group")
 _PIECES = re.compile(r"[ \n][^ \n]*")
 #: White space, old and new, before a blank or a line break: no cut there.
-_NO_CUT = re.compile(r"[\s\x1c-\x1f᠎][ \n]")
-_SPACE = re.compile(r"[\s\x1c-\x1f᠎]\Z")
+_NO_CUT = re.compile(r"[\s\x1c-\x1f\u180e][ \n]")
+_SPACE = re.compile(r"[\s\x1c-\x1f\u180e]\Z")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _workers: dict[tuple, Aligner] = {}
 
