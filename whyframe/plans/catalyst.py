@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
@@ -17,12 +18,27 @@ class Catalyst:
         """The unresolved plan; expressions know their place in the text."""
         return self.session.sessionState().sqlParser().parsePlan(sql)
 
+    def expression(self, text: str):
+        """An unresolved expression."""
+        return self.session.sessionState().sqlParser().parseExpression(text)
+
     def analyzed(self, sql: str):
         """The resolved plan with common table expressions inlined and predicate subqueries turned into joins."""
         plan = self.spark.sql(sql)._jdf.queryExecution().analyzed()
-        rule = lambda name: getattr(getattr(self.jvm, f"org.apache.spark.sql.catalyst.optimizer.{name}$"), "MODULE$")
         plan = self.jvm.org.apache.spark.sql.catalyst.optimizer.InlineCTE(True, False).apply(plan)
-        return rule("RewritePredicateSubquery").apply(rule("PullupCorrelatedPredicates").apply(plan))
+        return self.rule("RewritePredicateSubquery").apply(self.rule("PullupCorrelatedPredicates").apply(plan))
+
+    def rule(self, name: str):
+        """One of the optimizer's rules."""
+        return getattr(getattr(self.jvm, f"org.apache.spark.sql.catalyst.optimizer.{name}$"), "MODULE$")
+
+    def last_part(self, name: str) -> str:
+        """A column's own name out of a qualified one, quoted where it must be."""
+        try:
+            part = str(self.session.sessionState().sqlParser().parseMultipartIdentifier(name).last())
+        except Exception:  # not a name, such as a whole expression
+            return name
+        return part if part.isidentifier() and part.isascii() else "`" + part.replace("`", "``") + "`"
 
     def frame(self, plan) -> DataFrame:
         return DataFrame(self.jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.session, plan), self.spark)
@@ -30,6 +46,12 @@ class Catalyst:
     def plan_of(self, df: DataFrame):
         return df._jdf.queryExecution().analyzed()
 
+    def is_a(self, node, name: str) -> bool:
+        return is_instance_of(self.spark.sparkContext._gateway, node, name)
+
+    def no_hint(self):
+        return getattr(getattr(self.jvm, f"{LOGICAL}.JoinHint$"), "MODULE$").NONE()
+
     def seq(self, items: list):
         return self.jvm.PythonUtils.toSeq(items)
 

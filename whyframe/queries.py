@@ -298,6 +298,30 @@ _LEAF_QUERIES = {
         "SELECT o.o_orderkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_nationkey = 3 AND o.o_totalprice > 100000",
         _leaf_sql(("orders", "o_totalprice > 100000"), ("customer", "c_nationkey = 3")),
     ),
+    "of_in_list": (
+        "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_regionkey IN (1, 2) AND r.r_name NOT IN ('ASIA', 'EUROPE')",
+        _leaf_sql(("nation", "n_regionkey IN (1, 2)"), ("region", "r_name NOT IN ('ASIA', 'EUROPE')")),
+    ),
+    "of_like": (
+        "SELECT c.c_custkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_name LIKE '%1_' AND c.c_mktsegment RLIKE '^(B|F)' AND c.c_name NOT LIKE '%9'",
+        _leaf_sql(("customer", "regexp_matches(c_mktsegment, '^(B|F)') AND c_name NOT LIKE '%9'"), ("nation", "n_name LIKE '%1_'")),
+    ),
+    "of_between": (
+        "SELECT o.o_orderkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_nationkey NOT BETWEEN 3 AND 20 WHERE o.o_totalprice BETWEEN 1000 AND 50000 AND o.o_orderdate BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'",
+        _leaf_sql(("orders", "o_totalprice BETWEEN 1000 AND 50000 AND o_orderdate BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'"), ("customer", "c_nationkey NOT BETWEEN 3 AND 20")),
+    ),
+    "of_null_test": (
+        "SELECT s.s_suppkey FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey AND n.n_name IS NOT NULL AND nullif(n.n_regionkey, 2) IS NULL WHERE nullif(s.s_nationkey % 3, 0) IS NULL AND s.`s_name` IS NOT NULL",
+        _leaf_sql(("supplier", "nullif(s_nationkey % 3, 0) IS NULL AND s_name IS NOT NULL"), ("nation", "n_name IS NOT NULL AND nullif(n_regionkey, 2) IS NULL")),
+    ),
+    "of_lateral": (
+        "SELECT n.n_name, x.k FROM nation n, LATERAL (SELECT count(*) AS k FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 0) x WHERE n.n_regionkey IN (0, 3)",
+        _leaf_sql(("nation", "n_regionkey IN (0, 3)"), ("supplier", "s_acctbal > 0")),
+    ),
+    "of_outer_filter": (
+        "SELECT x.k, x.big FROM (SELECT c_nationkey + 1 AS k, c_acctbal AS big, c_mktsegment AS seg FROM customer) x WHERE x.k = 5 AND x.big > 100 AND upper(x.seg) LIKE 'B%'",
+        _leaf_sql(("customer", "c_nationkey + 1 = 5 AND c_acctbal > 100 AND upper(c_mktsegment) LIKE 'B%'")),
+    ),
     "of_derived_table": (
         "SELECT x.n_name, r.r_name FROM (SELECT n_name, n_regionkey FROM nation WHERE n_nationkey > 5) x JOIN region r ON x.n_regionkey = r.r_regionkey WHERE r.r_name <> 'ASIA'",
         _leaf_sql(("region", "r_name <> 'ASIA'"), ("nation", "n_nationkey > 5")),
