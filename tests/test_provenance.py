@@ -196,3 +196,56 @@ def test_large_groups_take_no_pairwise_comparison(spark):
     assert [tuple(w) for w in got] == sorted((f"a{i}", "b") for i in range(40_000))
     odd = spark.createDataFrame([(None,), ([],), ([["b", "a"], ["a", "b"], []],)], "p array<array<string>>")
     assert [r[0] for r in odd.select(why.canonical(F.col("p"))).collect()] == [None, [], [[], ["a", "b"]]]
+
+
+CORRELATED = [
+    ("SELECT r_name, (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) m FROM region WHERE r_regionkey < 2", {("AFRICA".ljust(25), 16): [["region_1"]], ("AMERICA".ljust(25), 24): [["region_2"]]}),
+    ("SELECT r_regionkey, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < 2) c FROM region", {(0, 1): [["region_1"]], (1, 1): [["region_2"]], (2, 0): [["region_3"]], (3, 0): [["region_4"]], (4, 0): [["region_5"]]}),
+    ("SELECT n_name FROM nation n WHERE n_nationkey = (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_nationkey > 20)", {("N21",): [["nation_22"]], ("N22",): [["nation_23"]], ("N24",): [["nation_25"]]}),
+    ("SELECT n_regionkey, count(*) c FROM nation GROUP BY n_regionkey HAVING n_regionkey = (SELECT max(r_regionkey) FROM region WHERE r_regionkey <= n_regionkey) AND n_regionkey < 1", {(0, 5): [["nation_1"], ["nation_15"], ["nation_16"], ["nation_17"], ["nation_6"]]}),
+]
+
+
+@pytest.mark.parametrize(("sql", "expected"), CORRELATED)
+def test_correlated_scalar_subqueries_keep_the_outer_row(spark, tables, sql, expected):
+    assert rows(spark, sql) == expected
+
+
+MATCHES = [
+    ("SELECT n_name FROM nation n WHERE n_nationkey = 2 AND EXISTS (SELECT 1 FROM region r WHERE r.r_regionkey < n.n_regionkey + 1)", {("N2",): [["nation_3", "region_1"], ["nation_3", "region_2"]]}),
+    ("SELECT r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3) OR r_regionkey = 4", {(0,): [["nation_1", "region_1"]], (1,): [["nation_2", "region_2"], ["nation_3", "region_2"]], (4,): [["region_5"]]}),
+    ("SELECT r_regionkey FROM region r WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < 8) OR r_regionkey = 3", {(2,): [["region_3"]], (3,): [["region_4"]]}),
+    ("SELECT r_regionkey, r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) y FROM region WHERE r_regionkey < 2", {(0, True): [["nation_1", "region_1"]], (1, False): [["region_2"]]}),
+    ("SELECT k FROM (SELECT n_regionkey k FROM nation WHERE n_nationkey < 2 GROUP BY n_regionkey) x WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey > k + 3)", {(0,): [["nation_1", "region_5"]]}),
+    ("SELECT r_regionkey, p FROM region LATERAL VIEW explode(array(1, 2)) t AS p WHERE r_regionkey = 1 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey < p AND n_nationkey < 2)", {(1, 1): [["nation_1", "region_2"]], (1, 2): [["nation_1", "region_2"], ["nation_2", "region_2"]]}),
+    ("FROM nation |> WHERE n_nationkey < 2 |> AGGREGATE count(*) AS c", {(2,): [["nation_1"], ["nation_2"]]}),
+    ("SELECT r_regionkey, x.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < 2) x", {(0, "N0"): [["nation_1", "region_1"]], (1, "N1"): [["nation_2", "region_2"]]}),
+]
+
+
+@pytest.mark.parametrize(("sql", "expected"), MATCHES)
+def test_matches_by_any_condition(spark, tables, sql, expected):
+    assert rows(spark, sql) == expected
+
+
+RELATION = [*SUMMARISED, *[q for q, _ in CORRELATED], *[q for q, _ in MATCHES], "SELECT n_regionkey FROM nation INTERSECT SELECT r_regionkey FROM region WHERE r_regionkey < 3", "SELECT r_regionkey FROM region EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey < 2", "SELECT DISTINCT k FROM (SELECT n_regionkey k, count(*) c FROM nation GROUP BY 1 UNION ALL SELECT r_regionkey, 1 FROM region) x", "SELECT 1 AS x"]
+
+
+def test_the_relation_holds_the_sets(spark, tables):
+    for sql in RELATION:
+        full = {(tuple(r)[:-1], tuple(w)) for r in sql_with_why(spark, sql, tables=TABLES).collect() for w in r.why}
+        got = [(tuple(r)[:-1], tuple(r.why)) for r in sql_with_why(spark, sql, "rows", TABLES).collect()]
+        assert set(got) == full and ("GROUP BY" not in sql or len(got) == len(full)), sql
+
+
+def test_the_relation_gathers_no_sets(spark, tables):
+    df = sql_with_why(spark, "SELECT r_name, count(*) c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", "rows", TABLES)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and dict(df.dtypes)["why"] == "array<string>"
+
+
+def test_the_relation_refuses_to_count_witnesses_as_rows(spark, tables):
+    for tail in ("ORDER BY k LIMIT 2", "LIMIT 2 OFFSET 1"):
+        with pytest.raises(NotImplementedError):
+            sql_with_why(spark, f"SELECT n_regionkey k, count(*) c FROM nation GROUP BY n_regionkey {tail}", "rows", TABLES)
+    assert len(sql_with_why(spark, "SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 2", "rows", TABLES).collect()) == 2

@@ -9,9 +9,10 @@ one witness set, which is carried as plain id columns, one for each base table
 Rules: selection, projection, sorting, limits and windows keep a row's
 provenance; joins multiply it; grouping, distinct and UNION add it up over equal
 rows; INTERSECT multiplies the sums of both sides; a semi join, IN or EXISTS
-multiplies by the sum of the matches if it compares by equality; anti joins,
-NOT IN and EXCEPT keep the left side's, as do scalar subqueries; a row made
-from constants has the empty witness set.
+multiplies by the sum of the matches, by whatever condition, and where it is a
+part of a condition if there are matches; anti joins, NOT IN and EXCEPT keep the
+left side's, as do scalar subqueries, correlated or not; a row made from
+constants has the empty witness set.
 """
 
 from __future__ import annotations
@@ -28,20 +29,23 @@ from ..plans.catalyst import Catalyst
 from ..sources.catalog import row_id
 
 WHY = "why"
-MODES = ("full", "count", "digest", "off")
+MODES = ("full", "rows", "count", "digest", "off")
+#: Nodes that count rows, which rows with several witnesses each would upset.
+COUNTING = ("GlobalLimit", "LocalLimit", "Offset", "Tail", "Sample", "Window")
 #: Nodes with one child that keep rows, or keep some of them, as they are.
-ROWWISE = ("Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Window", "Generate", "ResolvedHint", "Repartition", "RepartitionByExpression", "WithWindowDefinition", "Tail", "Sample")
+ROWWISE = ("Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Window", "Generate", "ResolvedHint", "Repartition", "RepartitionByExpression", "WithWindowDefinition", "Tail", "Sample", "PipeOperator")
 CONSTANT = ("LocalRelation", "OneRowRelation", "Range", "EmptyRelation")
 
 
 @dataclass
 class Annotated:
-    """A plan and the names of its id columns (flat) or of its one array column."""
+    """A plan and the names of its id columns (flat) or of its one array column; ``many``: a row for each witness."""
 
     plan: object
     names: list[str]
     flat: bool
     summed: bool = False
+    many: bool = False
 
 
 class Rewriter:
@@ -108,7 +112,9 @@ class Rewriter:
             raise NotImplementedError(f"rows of {table or kind} have no ids: it isn't a registered table")
         if len(children) == 1 and kind in ROWWISE:
             x = self.annotate(children[0])
-            return Annotated(node.withNewChildren(self.c.seq([x.plan])), x.names, x.flat, x.summed)
+            if x.many and kind in COUNTING:
+                raise NotImplementedError(f"prov='rows' has no rule for {kind} over rows with several witnesses")
+            return Annotated(node.withNewChildren(self.c.seq([x.plan])), x.names, x.flat, x.summed, x.many)
         raise NotImplementedError(f"no provenance rule for {kind}")
 
     def _leaf(self, node, table: str) -> Annotated:
@@ -120,17 +126,22 @@ class Rewriter:
     def _on_project(self, node) -> Annotated:
         x = self.annotate(node.child())
         kept = [self._attr(x.plan, n) for n in x.names]
-        return Annotated(self.c.make("Project", self.c.seq([*self.c.items(node.projectList()), *kept]), x.plan), x.names, x.flat, x.summed)
+        return Annotated(self.c.make("Project", self.c.seq([*self.c.items(node.projectList()), *kept]), x.plan), x.names, x.flat, x.summed, x.many)
 
     def _on_aggregate(self, node) -> Annotated:
         return self._grouped(node, self.annotate(node.child()), self.c.items(node.groupingExpressions()), self.c.items(node.aggregateExpressions()))
 
     def _on_distinct(self, node) -> Annotated:
         output = self.c.items(node.child().output())
+        if self.mode == "rows":
+            x = self.annotate(node.child())
+            return Annotated(x.plan, x.names, True, many=True)
         return self._grouped(node, self.annotate(node.child()), output, output)
 
     def _grouped(self, node, x: Annotated, grouping: list, outputs: list) -> Annotated:
         """As ``_summed``, but the last sum of a query whose rows have one witness each needs no sets in modes count and digest."""
+        if self.mode == "rows":
+            return self._joined_back(node, x, grouping, outputs)
         if self.top is None or not node.fastEquals(self.top) or not x.flat or not x.names:
             return self._summed(x, grouping, outputs)
         name = self.fresh()
@@ -141,6 +152,36 @@ class Rewriter:
         made = self.c.make("Aggregate", self.c.seq(grouping), self.c.seq([*outputs, alias]), plan, getattr(getattr(self.c.jvm, "scala.None$"), "MODULE$"))
         return Annotated(made, [name + "s"], False, True)
 
+    def _joined_back(self, node, x: Annotated, grouping: list, outputs: list) -> Annotated:
+        """A group's result beside each of its witnesses: the plain aggregate joined by its keys to the rows it was made from.
+
+        No group's witnesses meet in one place; a key with many of them is split by the join like any other.
+        """
+        keys = [self.fresh() for _ in grouping]
+        told = self.c.items(self.c.plan_of(self.c.frame(node.child()).select(*[self.c.column(g).alias(k) for g, k in zip(grouping, keys)])).projectList()) if keys else []
+        plain = self.c.frame(self.c.make("Aggregate", self.c.seq(grouping), self.c.seq([*outputs, *told]), node.child(), getattr(getattr(self.c.jvm, "scala.None$"), "MODULE$")))
+        rows, name, own = self.c.frame(x.plan), self.fresh(), [self.fresh() for _ in grouping]
+        rows = rows.select(*[self.c.column(g).alias(k) for g, k in zip(grouping, own)], self._witness(x).alias(name))
+        if not keys:  # a global aggregate is one row
+            both = F.broadcast(plain).crossJoin(rows)
+        else:
+            same = F.lit(True)
+            for a, b in zip(keys, own):
+                same = same & F.col(a).eqNullSafe(F.col(b))
+            both = plain.join(rows, same)  # the left side of a join keeps its attributes
+        plan = self.c.plan_of(both)
+        ids = {a.exprId().id() for a in self.c.items(node.output())}
+        kept = [a for a in self.c.items(plan.output()) if a.exprId().id() in ids]
+        return Annotated(self.c.make("Project", self.c.seq([*kept, self._attr(plan, name)]), plan), [name], True, many=True)
+
+    def _witness(self, x: Annotated) -> Column:
+        """The one witness of each row of a flat plan; some columns are ids, some already sets of them."""
+        if not x.names:
+            return F.expr("cast(array() as array<string>)")
+        kinds = dict(self.c.frame(x.plan).select(*x.names).dtypes)
+        sets = [F.coalesce(F.col(n), F.expr("cast(array() as array<string>)")) if kinds[n].startswith("array") else F.array(F.col(n)) for n in x.names]
+        return F.sort_array(F.array_distinct(F.array_compact(F.concat(*sets))))
+
     def _last_sum(self, node):
         """The topmost aggregate or DISTINCT if only row-wise nodes stand above it."""
         while node.nodeName() in (*ROWWISE, "Project", "SubqueryAlias"):
@@ -154,40 +195,110 @@ class Rewriter:
         return Annotated(self.c.make("Expand", self.c.seq(rows), self.c.seq([*self.c.items(node.output()), *kept]), x.plan), x.names, x.flat)
 
     def _on_union(self, node) -> Annotated:
-        name, plans = self.fresh(), []
+        name, plans, many = self.fresh(), [], False
         for child in self.c.children(node):
-            x = self._as_sets(self.annotate(child))
+            x = self.annotate(child)
+            many = many or x.many
+            x = x if self.mode == "rows" else self._as_sets(x)
             output = self.c.items(child.output())
-            renamed = self._with(x.plan, name, F.col(x.names[0]))
+            renamed = self._with(x.plan, name, self._witness(x) if self.mode == "rows" else F.col(x.names[0]))
             plans.append(self.c.make("Project", self.c.seq([*output, self._attr(renamed, name)]), renamed))
-        return Annotated(node.withNewChildren(self.c.seq(plans)), [name], False)
+        return Annotated(node.withNewChildren(self.c.seq(plans)), [name], self.mode == "rows", many=many)
 
     def _on_join(self, node) -> Annotated:
-        kind, left, right = node.joinType().toString(), self.annotate(node.left()), node.right()
-        if kind.startswith("LeftAnti") or kind.startswith("ExistenceJoin"):
-            return Annotated(node.withNewChildren(self.c.seq([left.plan, right])), left.names, left.flat)
+        kind, right = node.joinType().toString(), node.right()
+        if kind.startswith("ExistenceJoin"):
+            return self._existence(node)
+        left = self.annotate(node.left())
+        if kind.startswith("LeftAnti") or self._looks_up(node):
+            return Annotated(node.withNewChildren(self.c.seq([left.plan, right])), left.names, left.flat, left.summed, left.many)
         if kind.startswith("LeftSemi"):
-            return self._semi(node, left)
+            return self._beside(node, left, None) if self.mode == "rows" else self._semi(node, left)
         r = self.annotate(right)
         if left.flat and r.flat:
-            return Annotated(node.withNewChildren(self.c.seq([left.plan, r.plan])), left.names + r.names, True)
+            return Annotated(node.withNewChildren(self.c.seq([left.plan, r.plan])), left.names + r.names, True, many=left.many or r.many)
         left, r, name = self._as_sets(left), self._as_sets(r), self.fresh()
         joined = node.withNewChildren(self.c.seq([left.plan, r.plan]))
         product = why.times(F.col(left.names[0]), F.col(r.names[0]))
         return Annotated(self._with(joined, name, product, left.names + r.names), [name], False)
 
+    def _looks_up(self, node) -> bool:
+        """Whether a join's right side is a scalar subquery, whose value is looked up for each row of the left.
+
+        Where it depends on the row by more than equality, it holds the left's own leaves once more, for the values to look up.
+        """
+        left, right = ({a.exprId().id() for leaf in self.c.leaves(x) for a in self.c.items(leaf.output())} for x in (node.left(), node.right()))
+        return bool(right & self.c.looked_up) and right <= self.c.looked_up | left
+
     def _semi(self, node, left: Annotated) -> Annotated:
         keys = self._equalities(node)
-        if keys is None:  # compares by more than equality: the left side's provenance
-            return Annotated(node.withNewChildren(self.c.seq([left.plan, node.right()])), left.names, left.flat)
+        if keys is None:
+            return self._matched(node, left, None)
         right = self._summed(self.annotate(node.right()), keys, keys)
         left, name = self._as_sets(left), self.fresh()
-        inner = getattr(getattr(self.c.jvm, "org.apache.spark.sql.catalyst.plans.Inner$"), "MODULE$")
-        joined = self.c.make("Join", left.plan, right.plan, inner, node.condition(), node.hint())
+        joined = self.c.make("Join", left.plan, right.plan, self.c.inner(), node.condition(), node.hint())
         product = why.times(F.col(left.names[0]), F.col(right.names[0]))
         plan = self._with(joined, name, product, left.names + right.names)
         return Annotated(self.c.make("Project", self.c.seq([*self.c.items(node.left().output()), self._attr(plan, name)]), plan), [name], False)
 
+    def _existence(self, node) -> Annotated:
+        """EXISTS or IN below OR or in a SELECT list: matches count where there are some and where they speak for the row."""
+        left, exists = self.annotate(node.left()), node.joinType().exists()
+        if exists.exprId().id() in self.denied:
+            return Annotated(node.withNewChildren(self.c.seq([left.plan, node.right()])), left.names, left.flat, many=left.many)
+        return self._beside(node, left, exists) if self.mode == "rows" else self._matched(node, left, exists)
+
+    def _beside(self, node, left: Annotated, exists) -> Annotated:
+        """As ``_matched``, with a row for each match."""
+        right, mark = self.annotate(node.right()), self.fresh()
+        plan = self._with(right.plan, mark, F.lit(True))
+        joined = self.c.make("Join", left.plan, plan, self.c.inner() if exists is None else self.c.left_outer(), node.condition(), node.hint())
+        kept = [*self.c.items(node.left().output()), *[self._attr(joined, n) for n in (*left.names, *right.names)]]
+        if exists is not None:
+            kept.append(self.c.alias_as(F.col(mark).isNotNull(), exists, joined))
+        return Annotated(self.c.make("Project", self.c.seq(kept), joined), left.names + right.names, True, many=True)
+
+    def _matched(self, node, left: Annotated, exists) -> Annotated:
+        """Left rows times the sum of their matches by any condition.
+
+        A left row is known by its ids and, where rows may share these, by its
+        values. The sums of the matches are made by that key from an inner join
+        and joined back; without ``exists`` rows without matches go, else they
+        stay as they are and ``exists`` tells them apart.
+        """
+        right, output = self.annotate(node.right()), self.c.items(node.left().output())
+        joined = self.c.frame(self.c.make("Join", left.plan, self._ensure(right).plan, self.c.inner(), node.condition(), node.hint()))
+        right = self._ensure(right)
+        values = [] if left.flat and left.names and not self._repeats(node.left()) else [self.c.column(a) for a in output]
+        keys = [*[F.col(n) for n in left.names], *values]
+        named = [self.fresh() for _ in keys]
+        total = why.plus_witnesses(why.witness(*[F.col(n) for n in right.names])) if right.flat and right.names else why.plus(F.col(right.names[0]))
+        sums = self.fresh()
+        matches = joined.groupBy(*[k.alias(n) for k, n in zip(keys, named)]).agg(total.alias(sums))
+        own = self._as_sets(Annotated(self._with_marks(left), left.names, left.flat))
+        mine = self.c.frame(own.plan)
+        marks = [F.col(f"{n}_") for n in left.names] + values
+        same = F.lit(True)
+        for k, n in zip(marks, named):
+            same = same & k.eqNullSafe(F.col(n))
+        both = mine.join(matches, same, "inner" if exists is None else "left")
+        name = self.fresh()
+        plan = self.c.plan_of(both.withColumn(name, why.times(F.col(own.names[0]), F.col(sums))))
+        kept = [*output, self._attr(plan, name)]
+        if exists is not None:
+            kept.insert(len(output), self.c.alias_as(F.col(sums).isNotNull(), exists, plan))
+        return Annotated(self.c.make("Project", self.c.seq(kept), plan), [name], False)
+
+    def _with_marks(self, x: Annotated):
+        """x with a second copy of its provenance columns, which stay when the first become sets."""
+        df = self.c.frame(x.plan)
+        for n in x.names:
+            df = df.withColumn(f"{n}_", F.col(n))
+        return self.c.plan_of(df)
+
+    def _repeats(self, plan) -> bool:
+        return plan.nodeName() in ("Generate", "Expand", "Union") or any(self._repeats(x) for x in self.c.children(plan))
+
     def _equalities(self, node) -> list | None:
         """The right side's attributes if the condition is a conjunction of equalities with them."""
         if node.condition().isEmpty():
@@ -218,6 +329,8 @@ class Rewriter:
         if node.isAll():
             raise NotImplementedError("no provenance rule for INTERSECT ALL and EXCEPT ALL")
         a, b = self.c.items(node.left().output()), self.c.items(node.right().output())
+        if self.mode == "rows":
+            return self._set_rows(node, a, b, keep)
         left = self._summed(self.annotate(node.left()), a, a)
         right = self._summed(self.annotate(node.right()), b, b) if keep else Annotated(node.right(), [], True)
         l, r = self.c.frame(left.plan), self.c.frame(right.plan)
@@ -230,16 +343,30 @@ class Rewriter:
         both = self._with(self.c.plan_of(l.join(r, same, "inner")), name, why.times(F.col(left.names[0]), F.col(right.names[0])))
         return Annotated(self.c.make("Project", self.c.seq([*a, self._attr(both, name)]), both), [name], False)
 
+    def _set_rows(self, node, a: list, b: list, keep: bool) -> Annotated:
+        left, right = self.annotate(node.left()), self.annotate(node.right()) if keep else Annotated(node.right(), [], True)
+        same = F.lit(True)
+        for x, y in zip(a, b):
+            same = same & self.c.column(x).eqNullSafe(self.c.column(y))
+        both = self.c.plan_of(self.c.frame(left.plan).join(self.c.frame(right.plan), same, "inner" if keep else "left_anti"))
+        names = left.names + right.names
+        return Annotated(self.c.make("Project", self.c.seq([*a, *[self._attr(both, n) for n in names]]), both), names, True, many=True)
+
     # whole queries
 
     def run(self, sql: str, base: set[str], mode: str = "full") -> DataFrame:
         """The annotated query, with columns of its own, and its provenance as ``mode`` asks."""
         self.base, self.mode = {t.lower() for t in base}, mode
         plan = self.c.analyzed(sql)
+        self.denied = self.c.negated(plan)
         if any(a.name().lower() == WHY for a in self.c.items(plan.output())):
             raise ValueError(f"the query has a column {WHY}, which names the provenance: give it another name")
         self.top = None if mode == "full" else self._last_sum(plan)
         x = self.annotate(plan)
+        if mode == "rows":
+            name = self.fresh()
+            out = self.c.frame(x.plan).withColumn(name, self._witness(x)).drop(*x.names).withColumnRenamed(name, WHY)
+            return out.distinct() if x.many else out
         if x.summed:
             value = F.col(x.names[0])
         else:
@@ -262,6 +389,11 @@ def sql_with_why(spark: SparkSession, sql: str, prov: str = "full", tables: set[
 
     prov: ``full`` for the witness sets, ``count`` for their number, ``digest``
     for a 64-bit fingerprint of the hashed sets, ``off`` for the plain query.
+    ``rows`` gives provenance as a relation: a row for each distinct result row
+    and witness set (``why`` is that set; equal rows that one witness each gave
+    keep their number), joined from the plain result and its rows, so that no
+    group's sets meet in one array or task; a group without witnesses has no row,
+    and limits and windows above a grouping are refused.
     Where a query's last sum is over rows with one witness each, ``count`` and
     ``digest`` are aggregates over 64-bit hashes of distinct witnesses (a count
     is then one too low if two of n witnesses share a hash, odds n * n / 2**65).

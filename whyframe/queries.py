@@ -179,6 +179,42 @@ SQL: dict[str, tuple[str, str]] = {
         "SELECT s.s_suppkey FROM supplier s WHERE s.s_acctbal > (SELECT avg(s_acctbal) FROM supplier)",
         f"SELECT s.s_suppkey, {_one('s.rid')} FROM {S} s WHERE s.s_acctbal > (SELECT avg(s_acctbal) FROM supplier)",
     ),
+    "scalar_correlated": (
+        "SELECT r.r_name, (SELECT max(n.n_name) FROM nation n WHERE n.n_regionkey = r.r_regionkey) AS last_name, (SELECT count(*) FROM nation n WHERE n.n_regionkey = r.r_regionkey AND n.n_nationkey > 20) AS late FROM region r",
+        f"SELECT r.r_name, (SELECT max(n.n_name) FROM nation n WHERE n.n_regionkey = r.r_regionkey) AS last_name, (SELECT count(*) FROM nation n WHERE n.n_regionkey = r.r_regionkey AND n.n_nationkey > 20) AS late, {_one('r.rid')} FROM {R} r",
+    ),
+    "scalar_correlated_where": (
+        "SELECT n.n_name, c.c_custkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_acctbal > (SELECT avg(d.c_acctbal) FROM customer d WHERE d.c_nationkey = c.c_nationkey AND d.c_mktsegment = c.c_mktsegment)",
+        f"SELECT n.n_name, c.c_custkey, {_one('c.rid', 'n.rid')} FROM {C} c JOIN {N} n ON c.c_nationkey = n.n_nationkey WHERE c.c_acctbal > (SELECT avg(d.c_acctbal) FROM customer d WHERE d.c_nationkey = c.c_nationkey AND d.c_mktsegment = c.c_mktsegment)",
+    ),
+    "scalar_correlated_having": (
+        "SELECT c.c_nationkey, count(*) AS n FROM customer c GROUP BY c.c_nationkey HAVING count(*) > (SELECT 10 * count(*) FROM supplier s WHERE s.s_nationkey = c.c_nationkey)",
+        f"SELECT c.c_nationkey, count(*) AS n, {_sum('c.rid')} FROM {C} c GROUP BY c.c_nationkey HAVING count(*) > (SELECT 10 * count(*) FROM supplier s WHERE s.s_nationkey = c.c_nationkey)",
+    ),
+    "join_semi_theta": (
+        "SELECT n.n_name FROM nation n WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey < n.n_nationkey AND s.s_acctbal > 8000)",
+        f"SELECT any_value(n.n_name) AS n_name, {_sum('n.rid', 's.rid')} FROM {N} n JOIN {S} s ON s.s_nationkey < n.n_nationkey AND s.s_acctbal > 8000 GROUP BY n.rid",
+    ),
+    "join_in_or": (
+        "SELECT s.s_suppkey FROM supplier s WHERE s.s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) OR s.s_acctbal > 5000",
+        f"SELECT s.s_suppkey, {_one('s.rid', 'n.rid')} FROM {S} s LEFT JOIN {N} n ON s.s_nationkey = n.n_nationkey AND n.n_regionkey = 2 WHERE n.rid IS NOT NULL OR s.s_acctbal > 5000",
+    ),
+    "join_not_in_or": (
+        "SELECT n.n_name FROM nation n WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey) OR n.n_regionkey = 2",
+        f"SELECT n.n_name, {_one('n.rid')} FROM {N} n WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey) OR n.n_regionkey = 2",
+    ),
+    "exists_selected": (
+        "SELECT n.n_name, EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9900) AS rich FROM nation n",
+        f"SELECT any_value(n.n_name) AS n_name, count(c.rid) > 0 AS rich, {_sum('n.rid', 'c.rid')} FROM {N} n LEFT JOIN {C} c ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9900 GROUP BY n.rid",
+    ),
+    "join_lateral": (
+        "SELECT n.n_name, x.s_suppkey FROM nation n, LATERAL (SELECT s.s_suppkey FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 1000) x",
+        f"SELECT n.n_name, s.s_suppkey, {_one('n.rid', 's.rid')} FROM {N} n JOIN {S} s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 1000",
+    ),
+    "pipe_syntax": (
+        "FROM customer |> WHERE c_acctbal > 9000 |> AGGREGATE count(*) AS n GROUP BY c_nationkey |> WHERE n > 3",
+        f"SELECT c_nationkey, count(*) AS n, {_sum('rid')} FROM {C} WHERE c_acctbal > 9000 GROUP BY c_nationkey HAVING count(*) > 3",
+    ),
     "cte": (
         "WITH rich AS (SELECT c_nationkey, c_custkey FROM customer WHERE c_acctbal > 9000) SELECT n.n_name, count(*) AS n FROM nation n JOIN rich ON rich.c_nationkey = n.n_nationkey GROUP BY n.n_name",
         f"SELECT n.n_name, count(*) AS n, {_sum('n.rid', 'c.rid')} FROM {N} n JOIN {C} c ON c.c_nationkey = n.n_nationkey WHERE c.c_acctbal > 9000 GROUP BY n.n_name",
@@ -409,6 +445,14 @@ def _explain(spark, t):
     return answers.explain_rows(rows, "How many nations has each region?", tables.rid_index(t))
 
 
+def _relation(sql: str):
+    """The provenance relation of a query, a witness set as text."""
+    return _with_tables(lambda s, t: sql_with_why(s, sql, prov="rows", tables=set(TABLES)).withColumn(WHY, F.array_join(WHY, " AND ")))
+
+
+_BY_REGION = "SELECT r.r_name, count(*) AS items, max(l.l_shipdate) AS latest FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name"
+
+
 def _digest(spark, t):
     return sql_with_why(spark, SQL["flagship"][0], prov="count", tables=set(TABLES))
 
@@ -509,6 +553,14 @@ UNION ALL SELECT id, set_no, 'repeated set', NULL FROM d WHERE k > 1""",
         _with_tables(_digest),
         f"SELECT r.r_name, n.n_name, count(*) AS items, CAST(sum(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, count(DISTINCT concat_ws(',', l.rid, o.rid, c.rid, n.rid, r.rid)) AS why FROM {L} l JOIN {O} o ON l.l_orderkey = o.o_orderkey JOIN {C} c ON o.o_custkey = c.c_custkey JOIN {N} n ON c.c_nationkey = n.n_nationkey JOIN {R} r ON n.n_regionkey = r.r_regionkey WHERE l.l_returnflag = 'R' GROUP BY r.r_name, n.n_name",
     ),
+    "prov_rows_by_region": (
+        _relation(_BY_REGION),
+        f"SELECT DISTINCT r.r_name, count(*) OVER g AS items, max(l.l_shipdate) OVER g AS latest, array_to_string({_w('l.rid', 'o.rid', 'c.rid', 'n.rid', 'r.rid')}, ' AND ') AS why FROM {L} l JOIN {O} o ON l.l_orderkey = o.o_orderkey JOIN {C} c ON o.o_custkey = c.c_custkey JOIN {N} n ON c.c_nationkey = n.n_nationkey JOIN {R} r ON n.n_regionkey = r.r_regionkey WINDOW g AS (PARTITION BY r.r_name)",
+    ),
+    "prov_rows_nested": (
+        _relation("SELECT x.n, count(*) AS nations FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 40) x JOIN nation ON x.k = n_nationkey WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = x.k) GROUP BY x.n"),
+        f"SELECT DISTINCT x.n, count(DISTINCT a.n_nationkey) OVER (PARTITION BY x.n) AS nations, array_to_string({_w('c.rid', 'a.rid', 's.rid')}, ' AND ') AS why FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 40) x JOIN {C} c ON c.c_nationkey = x.k JOIN {N} a ON a.n_nationkey = x.k JOIN {S} s ON s.s_nationkey = x.k",
+    ),
     "html_escape": (
         lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", html_escape(F.col("html")).alias("escaped")),
         "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') AS escaped FROM pages",
