@@ -199,3 +199,34 @@ def test_ids_are_pushed_as_keys(spark, tmp_path):
 def test_html_escape(spark):
     text = """<a href="x">R&D &amp; 'q'</a>"""
     assert spark.range(1).select(html_escape(F.lit(text))).first()[0] == html.escape(text)
+
+
+def test_ids_are_resolved_by_typed_keys(spark, tmp_path):
+    """As over the index of texts, for whole columns of ids, odd ones among them."""
+    spark.range(50).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name").write.parquet(f"{tmp_path}/nation")
+    spark.range(400).selectExpr("id div 4 AS l_orderkey", "id % 4 AS l_linenumber", "CAST(id * 7 AS int) AS l_partkey", "1 AS l_suppkey", "id / 8 AS l_quantity", "id * 1.25D AS l_extendedprice", "'c' AS l_comment").write.parquet(f"{tmp_path}/lineitem")
+    data = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("nation", "lineitem")}
+    data["region"] = spark.createDataFrame([("region_1", 0, "A"), (" region_x ", 1, "B"), (None, 2, "C"), ("", 3, "D")], "region_rownum string, r_regionkey int, r_name string")
+    data["own"] = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    data["customer"] = spark.createDataFrame([(None, "lost"), (-5, "kept")], "c_custkey int, c_name string")
+    index = tables.rid_index(data)
+    every = [r.rid for r in index.select("rid").collect()]
+    odd = ["nation_01", "nation_0", "nation_51", "nation_", "nation", "nation_1_2", "nation_1 ", "nation_9223372036854775808", "nation_99999999999999999999", "lineitem_0_0_0_1_0", "lineitem_0_0_0_1_0_1", "region_2", "region_", "", "customer_-4", "customer_null", "zzz_1", "_", "own_1"]
+    rids = spark.createDataFrame([(r,) for r in every + odd + odd[:3] + [None]], "rid string")
+    told = lambda df: sorted(((r.rid, r.table_name, tuple(sorted(r.row.items(), key=str)) if r.row else None) for r in df.collect()), key=str)
+    assert told(tables.resolve(rids, data)) == told(tables.resolve(rids, index))
+    assert sorted(r.rid for r in tables.known_ids(rids, data).collect()) == sorted(set(every))
+    given = spark.createDataFrame([(1, [["nation_1", "nation_77"], ["lineitem_0_0_0_1_0_0"]]), (2, [["zzz_9", "region_1"], []])], "id int, provenance array<array<string>>")
+    assert sorted(r.rid for r in answers.missing_ids(given, data).collect()) == ["nation_77", "zzz_9"]
+    assert sorted(map(tuple, answers.validate(given, data).collect()), key=str) == sorted(map(tuple, answers.validate(given, index).collect()), key=str)
+
+
+def test_typed_keys_build_no_texts_of_table_rows(spark, tmp_path):
+    spark.range(50).selectExpr("id AS o_orderkey", "concat('c', id) AS o_comment").write.parquet(f"{tmp_path}/orders")
+    data = {"orders": spark.read.parquet(f"{tmp_path}/orders")}
+    asked = spark.createDataFrame([("orders_1",), ("orders_99",)], "rid string")
+    plan = tables.known_ids(asked, data)._jdf.queryExecution()
+    assert "ReadSchema: struct<o_orderkey:bigint>" in plan.executedPlan().toString() and "orders_" not in plan.optimizedPlan().toString()
+    found = tables.find_rows(asked, data)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(found) if "Join" in line)
+    assert not any("map_from_entries" in line for line in found[join:]) and any("map_from_entries" in line for line in found[:join])

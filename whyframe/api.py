@@ -82,16 +82,15 @@ class Engine:
         except answers.AnswerError as e:
             raise RequestError(str(e)) from e
         frame = self.spark.createDataFrame([(i, json.dumps(x["result"], ensure_ascii=False), x["provenance"]) for i, x in enumerate(items)], "id int, result string, provenance array<array<string>>")
-        index = self.index()
         ids = sorted({r for x in items for w in x["provenance"] for r in w})
         rows = self.resolve(ids)
         missing = [r for r in ids if rows.get(r) is None]
-        faults = [{"item": r.id, "set": r.set_no, "problem": r.problem, "rid": r.rid} for r in answers.validate(frame, index).orderBy("id", "set_no", "problem", "rid").collect()]
+        faults = [{"item": r.id, "set": r.set_no, "problem": r.problem, "rid": r.rid} for r in answers.validate(frame, self.data).orderBy("id", "set_no", "problem", "rid").collect()]
         text = None
         if missing:
             faults.append({"item": None, "set": None, "problem": "no explanation: some ids are unknown", "rid": None})
         else:
-            text = "\n\n".join(r.explanation for r in answers.explain_rows(frame, question, index).orderBy("id").collect())
+            text = "\n\n".join(r.explanation for r in answers.explain_rows(frame, question, self.data).orderBy("id").collect())
         formulas = [r.formula for r in frame.orderBy("id").select(why.formula(F.col("provenance")).alias("formula")).collect()]
         used = sorted({r["table"] for r in rows.values() if r})
         self._note("explain", question=question, missing=len(missing), faults=len(faults))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import why
+from ..sources.tables import known_ids, resolve
 
 KEYS = {"result", "provenance"}
 
@@ -90,12 +91,12 @@ def witnesses(answers: DataFrame, key: str = "id", prov: str = "provenance") ->
     return answers.select(key, F.posexplode(prov).alias("set_no", "witness"))
 
 
-def validate(answers: DataFrame, index: DataFrame, key: str = "id", prov: str = "provenance") -> DataFrame:
+def validate(answers: DataFrame, index: DataFrame | dict[str, DataFrame], key: str = "id", prov: str = "provenance") -> DataFrame:
     """(key, set_no, problem, rid): every fault of the provenance; none of them stops the others.
 
     Empty sets, ids repeated in a set, unknown ids (each place once) and sets
-    that repeat an earlier one in any order. ``index`` has the known ids in
-    column rid. Numbering repeats within an answer uses its own array, so no
+    that repeat an earlier one in any order. ``index`` is the tables by name, or
+    has the known ids in column rid. Numbering repeats within an answer uses its own array, so no
     key's sets meet in one sort.
     """
     sets = witnesses(answers, key, prov)
@@ -109,14 +110,15 @@ def validate(answers: DataFrame, index: DataFrame, key: str = "id", prov: str =
     return empty.unionByName(twice).unionByName(unknown).unionByName(repeated)
 
 
-def missing_ids(answers: DataFrame, index: DataFrame, prov: str = "provenance") -> DataFrame:
-    """(rid): the ids that no table has, each once.
+def missing_ids(answers: DataFrame, index: DataFrame | dict[str, DataFrame], prov: str = "provenance") -> DataFrame:
+    """(rid): the ids that no table has, each once; ``index`` is the tables by name or a ready index.
 
-    The index is cut to the asked ids first, a join whose right side, the ids,
-    AQE can broadcast; so the tables aren't shuffled for a few answers.
+    Tables give their keys as numbers. An index is cut to the asked ids first, a
+    join whose right side, the ids, AQE can broadcast; so the tables aren't
+    shuffled for a few answers.
     """
     ids = answers.select(F.explode(F.flatten(prov)).alias("rid")).distinct()
-    known = index.select("rid").join(ids, "rid", "left_semi")
+    known = known_ids(ids, index) if isinstance(index, dict) else index.select("rid").join(ids, "rid", "left_semi")
     return ids.join(known, "rid", "left_anti")
 
 
@@ -124,14 +126,14 @@ def formulas(answers: DataFrame, key: str = "id", prov: str = "provenance") -> D
     return answers.select(key, why.formula(F.col(prov)).alias("formula"))
 
 
-def explain_rows(answers: DataFrame, question: str, index: DataFrame, key: str = "id", prov: str = "provenance") -> DataFrame:
+def explain_rows(answers: DataFrame, question: str, index: DataFrame | dict[str, DataFrame], key: str = "id", prov: str = "provenance") -> DataFrame:
     """(key, explanation): what was asked, the result, and the rows that each derivation rests on.
 
     answers: key, result (JSON text), provenance. The text is a template over
     the resolved rows, so it is the same every time.
     """
     ids = witnesses(answers, key, prov).select(key, "set_no", F.posexplode("witness").alias("place", "rid"))
-    told = ids.join(index, "rid", "left")
+    told = resolve(ids, index)
     values = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter("row", lambda k, v: v.isNotNull() & ~k.endswith("_rownum")))), lambda e: F.concat(e["key"], F.lit(" "), F.trim(e["value"]))), ", ")
     told = told.withColumn("text", F.when(F.col("table_name").isNull(), F.concat("rid", F.lit(" (unknown)"))).otherwise(F.concat("rid", F.lit(" ("), values, F.lit(")"))))
     sets = told.groupBy(key, "set_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " together with ").alias("line"))

@@ -294,7 +294,7 @@ _INDEX = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {_RID[t]} AS rid FROM
 
 
 def _resolve(spark, t):
-    return tables.resolve(_candidates(spark, t), tables.rid_index(t)).select("rid", "table_name", F.col("row").isNotNull().alias("found"))
+    return tables.resolve(_candidates(spark, t), t).select("rid", "table_name", F.col("row").isNotNull().alias("found"))
 
 
 _EXPLAINED = f"""SELECT r.r_name AS id, 'Question: How many nations has each region?' || chr(10) || 'Result: {{"r_name":"' || r.r_name || '","c":' || count(*) || '}}' || chr(10) || 'Provenance, ' || count(*) || ' derivation(s):' || chr(10)
@@ -442,7 +442,7 @@ def _fetch(t: dict[str, DataFrame]) -> DataFrame:
 def _explain(spark, t):
     df = sql_with_why(spark, "SELECT r.r_name, count(*) AS c FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name", tables=set(TABLES))
     rows = df.select(F.col("r_name").alias("id"), F.to_json(F.struct("r_name", "c")).alias("result"), F.col("why").alias("provenance"))
-    return answers.explain_rows(rows, "How many nations has each region?", tables.rid_index(t))
+    return answers.explain_rows(rows, "How many nations has each region?", t)
 
 
 def _relation(sql: str):
@@ -532,11 +532,11 @@ SELECT id, table_name FROM n UNION SELECT n.id, other FROM n JOIN m USING (id) J
         "SELECT * FROM (VALUES (0, NULL, NULL::BIGINT), (1, 'root not an array', -1), (2, 'invalid JSON', -1), (3, 'item not an object', 0), (4, 'wrong keys', 0), (5, 'result not an object', 0), (6, 'provenance not a list', 0), (7, 'id not a string', 0), (8, NULL, NULL)) t(id, problem, item)",
     ),
     "missing_ids": (
-        _with_tables(lambda s, t: answers.missing_ids(_answers(s), tables.rid_index(t))),
+        _with_tables(lambda s, t: answers.missing_ids(_answers(s), t)),
         f"WITH {_ANSWERS} SELECT DISTINCT rid FROM (SELECT unnest(w) AS rid FROM s) WHERE rid NOT IN (SELECT rid FROM ({_INDEX}))",
     ),
     "validate_prov": (
-        _with_tables(lambda s, t: answers.validate(_answers(s), tables.rid_index(t)).withColumn("set_no", F.col("set_no").cast("long"))),
+        _with_tables(lambda s, t: answers.validate(_answers(s), t).withColumn("set_no", F.col("set_no").cast("long"))),
         f"""WITH {_ANSWERS},
 u AS (SELECT id, set_no, unnest(w) AS rid FROM s),
 d AS (SELECT id, set_no, row_number() OVER (PARTITION BY id, list_sort(w) ORDER BY set_no) AS k FROM s)

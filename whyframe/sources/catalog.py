@@ -43,6 +43,9 @@ CATALOG: dict[str, Table] = {
 #: Columns that tell rows apart where the primary key doesn't: the generated line items repeat it.
 CONTENT_KEYS = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")}
 
+#: Columns of these that are amounts, which count in hundredths.
+HUNDREDTHS = {"l_quantity", "l_extendedprice"}
+
 
 def row_id(table: str, columns: list[str]) -> Column:
     """The row id of a table's rows, made from the row alone, so that ids need no numbering pass.
@@ -58,8 +61,7 @@ def row_id(table: str, columns: list[str]) -> Column:
         return F.concat(F.lit(f"{table}_"), (F.col(known.primary_key[0]).cast("long") + 1).cast("string"))
     if known:
         keys = [c for c in CONTENT_KEYS.get(table, known.primary_key) if c in columns]
-        hundredths = {"l_quantity", "l_extendedprice"}
-        return F.concat_ws("_", F.lit(table), *[(F.round(F.col(c) * 100).cast("long") if c in hundredths else F.col(c)).cast("string") for c in keys])
+        return F.concat_ws("_", F.lit(table), *[(F.round(F.col(c) * 100).cast("long") if c in HUNDREDTHS else F.col(c)).cast("string") for c in keys])
     return F.concat_ws("_", F.lit(table), F.xxhash64(*[F.col(c) for c in columns]).cast("string"))
 
 
