@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import why
 from .operators import answers, leaves, models, retrieval
+from .operators.combine import run_descriptor
 from .operators.provenance import WHY, sql_with_why
 from .plans.descriptor import describe
 from .sources import catalog, tables
@@ -63,6 +64,10 @@ class Engine:
         plan = self.plan(sql, compat)
         return {"sql": sql, "plan": plan, "leaf_outputs": [{"task": t, "rows": leaves.leaf_json(df)} for t, df in leaves.run_leaves(self.spark, plan)]}
 
+    def combine(self, plan: dict, prov: str = "full") -> DataFrame:
+        """Run a full descriptor: its leaf outputs joined and its post-operations applied, with provenance."""
+        return run_descriptor(self.spark, plan, prov, set(self.data))
+
     def index(self) -> DataFrame:
         return tables.rid_index(self.data)
 
