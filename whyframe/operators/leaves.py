@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.catalog import CATALOG
-from ..sources.tables import RID, tagged
+from ..sources.tables import RID, id_parts, tagged
 
 
 def leaf_scan(spark: SparkSession, table: str, columns: list[str] | None = None, predicates: list[str] = ()) -> DataFrame:
@@ -28,6 +28,28 @@ def leaf_page(leaf: DataFrame, size: int, after: str | None = None) -> DataFrame
     return (leaf if after is None else leaf.where(F.col(RID) > after)).orderBy(RID).limit(size)
 
 
+def leaf_page_by_key(spark: SparkSession, table: str, columns: list[str], predicates: list[str], size: int, after: str | None = None) -> DataFrame:
+    """The next rows after an id in the order of the table's keys as numbers; ``after`` may name the first keys only.
+
+    The first key's bound is a filter on the table's own column, so that the scan
+    skips files and row groups that were seen; later keys decide among its equals.
+    Tables whose ids are texts of their own are paged by these.
+    """
+    df = spark.table(table)
+    for p in predicates:
+        df = df.where(p)
+    parts = id_parts(table, df.columns)
+    if parts is None:
+        return leaf_page(leaf_scan(spark, table, columns, predicates), size, after)
+    if after is not None:
+        seen = [int(x) for x in after.removeprefix(f"{table}_").split("_")]
+        single, key = len(CATALOG[table].primary_key) == 1, CATALOG[table].primary_key[0]
+        df = df.where(F.col(key) >= F.lit(seen[0] - single).cast(df.schema[key].dataType))
+        df = df.where(F.struct(*parts[: len(seen)]) > F.struct(*[F.lit(x).cast("long") for x in seen]))
+    page = tagged(df, table).orderBy(*parts).limit(size)
+    return page.select(RID, *columns)
+
+
 def unseen(leaf: DataFrame, seen: DataFrame) -> DataFrame:
     """The rows whose ids haven't been given yet."""
     return leaf.join(seen.select(RID), RID, "left_anti")

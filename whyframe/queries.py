@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import why
 from .functions.text import html_escape
-from .operators import answers, leaves, retrieval
+from .operators import answers, cells, leaves, retrieval
 from .operators.provenance import WHY, sql_with_why
 from .plans.descriptor import describe
 from .sources import catalog, tables
@@ -400,6 +400,13 @@ def _vector_topk(spark, sf_dir):
     return retrieval.vector_top_k(v, query).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def _cells_topk(spark, sf_dir):
+    """The nearest vectors from an index by cells, of which only those within reach are read."""
+    v, path = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), tables.shared_folder(spark, "cells")
+    cells.build_cells(v, path)
+    return cells.Cells(spark, path).top_k([float(x) for x in v.where("vec_id = 0").first().embedding]).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 def _hits(spark, sf_dir):
     """The nearest vectors as ranked row ids: a vector stands for the row of its number in one of six tables."""
     v, query = _l2_query(spark, sf_dir, False)
@@ -490,6 +497,11 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         _with_tables(lambda s, t: leaves.leaf_page(_fetch(t), 5, after="nation_15").withColumnRenamed(RID, "rid")),
         f"SELECT rid, n_name, n_regionkey FROM {N} WHERE n_regionkey >= 1 AND rid > 'nation_15' ORDER BY rid LIMIT 5",
     ),
+    "leaf_page_by_key": (
+        _with_tables(lambda s, t: leaves.leaf_page_by_key(s, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate"], ["l_quantity > 10"], 500, after="lineitem_1000_3").withColumnRenamed(RID, "rid")),
+        f"SELECT rid, l_orderkey, l_linenumber, l_shipdate FROM {L} WHERE l_quantity > 10 AND (l_orderkey > 1000 OR (l_orderkey = 1000 AND l_linenumber > 3)) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice LIMIT 500",
+    ),
+    "vector_topk_cells": (_cells_topk, f"SELECT vec_id, round(d, 6) AS distance FROM ({_TOP})"),
     "vector_l2": (_distances, f"SELECT v.vec_id, round({_L2}, 6) AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"),
     "vector_topk": (_vector_topk, f"SELECT vec_id, round(d, 6) AS distance FROM ({_TOP})"),
     "topk_batch": (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,5 +168,15 @@ def look_up(tables: dict[str, DataFrame], rids: list[str]) -> DataFrame | None:
     return rid_index(some).where(F.col("rid").isin(rids)) if some else None
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a local one, if Spark runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='whyframe-')}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def known_tables() -> list[str]:
     return list(CATALOG)
