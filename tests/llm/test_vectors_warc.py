@@ -111,3 +111,16 @@ def test_magic_inside_data_is_no_member(tmp_path):
     path.write_bytes(data)
     with open(path, "rb") as f:
         assert [m == record for m in warc.members(f, 0, len(data))] == [True, True]
+
+
+def test_any_number_of_lengths(spark):
+    """Copies of every length, and vectors that only zeros at the end tell apart."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for width in range(1, 71):
+        v = rng.normal(size=width).tolist()
+        rows += [(len(rows), v, 1), (len(rows) + 1, [2 * x for x in v], 1), (len(rows) + 2, [-x for x in v], 1)]
+    rows += [(900, [1.0, 2.0], 2), (901, [1.0, 2.0, 0.0], 2), (902, [1.0, 2.0, 0.0, 0.0], 2), (903, [1.0, 2.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_near_duplicates(df, 0.98).collect()}
+    assert got == brute(rows, 0.98)

@@ -17,7 +17,7 @@ of a label are one vector with a count.
 Defined results: vectors that are null, empty or zero, or hold null or
 non-finite components, and vectors with a null label link with nothing, not
 even with equals; each is a component of its own and kept. Vectors of different
-lengths link with nothing either. Rows with a null id are left out. Of rows that
+lengths link with nothing either; any number of lengths may stand in a table. Rows with a null id are left out. Of rows that
 repeat an id, each counts as a vector; the id has one row with the sum of the
 other rows' links. Extra columns are ignored.
 """
@@ -159,12 +159,14 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile:
     """(vec_id, n_links, component_id, kept): for each vector the others linked directly, and its component."""
     plain = vectors.select(as_id(id_col).alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec")).where("id IS NOT NULL")
     plain = stage(plain.withColumn("ok", usable(plain)).withColumn("width", F.size("vec")), "vectors")
-    widths = [r.width for r in plain.where("ok").select("width").distinct().limit(65).collect()]
-    if len(widths) > 64:
-        raise ValueError("more than 64 lengths of vectors in one table")
+    room = F.ceil(F.log2(F.col("width").cast("double"))).cast("int")
+    rooms = [r.room for r in plain.where("ok").select(room.alias("room")).distinct().collect()]  # 31 at most
     links = classes = None
-    for width in sorted(widths):
-        own = plain.where(F.col("ok") & (F.col("width") == width))
+    for width in sorted(1 << r for r in rooms):
+        # vectors of other lengths have other labels; zeros up to the next power of two change no product
+        own = plain.where(F.col("ok") & (F.col("width") <= width) & (F.col("width") > width // 2))
+        filled = F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(width) - F.col("width")))
+        own = own.select("id", F.struct("label", "width").alias("label"), F.when(F.col("width") == width, F.col("vec")).otherwise(filled).alias("vec"))
         reps = stage(own.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
         axes, _ = principal_axes(reps, width)
 
