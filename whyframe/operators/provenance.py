@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import why
 from ..plans.catalyst import Catalyst
 from ..sources.catalog import row_id
+from ..sources.tables import id_parts
 
 WHY = "why"
 MODES = ("full", "rows", "count", "digest", "off")
@@ -121,7 +122,10 @@ class Rewriter:
         df, name = self.c.frame(node), self.fresh()
         self.tables.append(table)
         rid = self.rid(table, df.columns)
-        return Annotated(self.c.plan_of(df.withColumn(name, F.xxhash64(rid) if self.hashed else rid)), [name], True)
+        if self.hashed:
+            parts = id_parts(table, df.columns) if self.rid is row_id else None
+            rid = F.xxhash64(rid) if parts is None else F.xxhash64(F.lit(table), *parts)  # no text is built
+        return Annotated(self.c.plan_of(df.withColumn(name, rid)), [name], True)
 
     def _on_project(self, node) -> Annotated:
         x = self.annotate(node.child())
