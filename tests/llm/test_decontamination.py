@@ -92,3 +92,44 @@ def test_short_items_have_their_whole_budget(spark):
     got = {(r.doc_id, r.item_id, r.edits) for r in benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {(d, i, distance(norm(item), norm(text))) for d, text in docs for i, item in items if distance(norm(item), norm(text)) <= int(0.08 * len(norm(item)))}
     assert got == want and {d for d, *_ in got} == {*range(20, 122, 2), 1000}
+
+
+def every_find(item, text, e):
+    """Edits of every end at which the item ends within e edits, by the plain dynamic programme."""
+    best = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(best[j - 1] + (x != y), best[j] + 1, new[-1] + 1))
+        best = new
+    return {j: d for j, d in enumerate(best) if d <= e}
+
+
+def test_repetitive_texts(spark):
+    """Items and texts that repeat themselves: as many finds as fit, by the plain programme, whether bands or whole windows decide."""
+    rng = random.Random(4)
+    cases = [("a" * 60, "a" * 1000), ("ab" * 40, "ab" * 300 + "c" + "ab" * 200), ("the cat and " * 6, "the cat and " * 40 + "the dog or " * 20), ("x" * 30 + "y" * 30, "x" * 200 + "y" * 200), ("a" * 60, "".join(rng.choice("ab") for _ in range(400)) + "a" * 57 + "b" + "a" * 70)]
+    for item, text in cases:
+        items = Items([(1, item)], 10, 0.08)
+        t, x = items.texts[0].tobytes(), norm(text)
+        e, ends = int(items.edits[0]), every_find(items.texts[0].tobytes(), norm(text), int(items.edits[0]))
+        got = sorted(passages(np.frombuffer(x, np.uint8), items), key=lambda f: f[2])
+        assert all(ends[end] == edits == distance(t, x[start:end]) for _, start, end, edits in got), item
+        assert all(p[2] <= q[1] for p, q in zip(got, got[1:]))
+        # no end is left that could stand beside the finds
+        assert all(any(a < j and j - len(t) - d < b for _, a, b, _ in got) for j, d in ends.items()), item
+        if ends and min(ends.values()) == 0:
+            assert any(edits == 0 for *_, edits in got) and e >= 0
+    whole = passages(np.frombuffer(b"a" * 12_000, np.uint8), Items([(1, "a" * 600)], 10, 0.08))
+    assert sorted((a, b, d) for _, a, b, d in whole) == [(600 * k, 600 * k + 600, 0) for k in range(20)]
+
+
+def test_long_repetitive_text_is_bounded():
+    import tracemalloc
+
+    items = Items([(k, c * 600) for k, c in enumerate("abc")], 10, 0.08)
+    tracemalloc.start()
+    found = passages(np.frombuffer(b"a" * 100_000, np.uint8), items)
+    assert tracemalloc.get_traced_memory()[1] < 500_000_000
+    tracemalloc.stop()
+    assert len(found) == 100_000 // 600

@@ -7,7 +7,9 @@ item's q-grams, and all of them lie on diagonals (place in the document minus
 place in the item) at most 2 e apart. Bands of 4 e + 1 diagonals that overlap
 by half hold any such window whole, so counting distinct item q-grams in each
 band loses no copy. Bands that reach the bound are verified by an alignment
-confined to their diagonals.
+confined to their diagonals. Bands are only made within windows of the text that
+have the q-grams at all, and a window that repeats itself is one band, so work
+doesn't grow with the square of what a text and an item repeat.
 
 An item so short that ``e`` edits may leave none of its q-grams is looked for
 by shorter ones, with the same ``e``.
@@ -23,12 +25,13 @@ too short to tell a copy and matches nothing. Repeated documents and items each
 have their own rows. Rows with a null document id or item id are left out of
 the hits; ``decontaminate`` judges documents and items by their text alone. Of
 overlapping finds of an item the one with the fewest edits, then the first,
-counts. Very long texts are read whole, in slices of their own. Extra columns
+counts, and then what doesn't overlap it, in the same order. Very long texts are read whole, in slices of their own. Extra columns
 are ignored, or kept as they are by ``decontaminate``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ from .text_kernels import U64, _BASE, _INVERSE, _TABLE, _power, mix, slices, tex
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91] += 32
 _CLASS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 32
+#: Places of an item for one of the text, on average over a window, from which all the window is aligned.
+MANY = 16
 HITS = "doc_id long, item_id long, start long, end long, edits long, item_length long"
 
 
@@ -94,8 +99,15 @@ class Items:
         self.edits, self.least = np.array(self.edits, np.int64), np.array(self.least, np.int64)
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         flat = np.concatenate(grams) if grams else np.zeros(0, U64)
-        order = np.argsort(flat, kind="stable")
-        self.grams, self.owner, self.place = flat[order], *(np.concatenate(x)[order] if grams else np.zeros(0, np.int64) for x in (owners, places))
+        owner, place = (np.concatenate(x) if grams else np.zeros(0, np.int64) for x in (owners, places))
+        order = np.lexsort((place, owner, flat))
+        flat, owner, self.places = flat[order], owner[order], place[order]
+        new = np.ones(len(flat), dtype=bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+        # an entry for each gram of an item, whatever the number of its places there
+        self.first = np.flatnonzero(new)
+        self.times = np.diff(np.append(self.first, len(flat)))
+        self.grams, self.owner = flat[self.first], owner[self.first]
         self.same = np.searchsorted(self.grams, self.grams, side="right") - np.arange(len(self.grams))
         self.brief = Items(brief, shorter, error_rate) if brief else None
         bits = 20
@@ -117,32 +129,65 @@ class Items:
         at, lo = at[there], lo[there]
         return at, lo, self.same[lo]
 
-    def candidates(self, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, lowest diagonal, highest diagonal) of each band that meets the item's bound."""
+    def windows(self, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, places of the text, entries): what the item shares with each window of the text that could hold a copy.
+
+        Windows of twice a copy's greatest length overlap by half. A gram counts
+        once a window with all its places in the item, so that no count grows
+        with the square of what a text and an item repeat.
+        """
         if not len(at):
             return
-        index = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, place, where = self.owner[index], self.place[index], np.repeat(at, n)
-        diagonal = where - place + (1 << 20)
-        width = 2 * self.edits[item] + 1
-        band = diagonal // width
-        item, place, diagonal, band = np.tile(item, 2), np.tile(place, 2), np.tile(diagonal, 2), np.concatenate([band, band - 1])
-        order = np.lexsort((place, band, item))
-        item, place, diagonal, band = item[order], place[order], diagonal[order], band[order]
+        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        item, where = self.owner[entry], np.repeat(at, n)
+        window = where // (self.lengths + self.edits)[item]
+        item, where, entry, window = np.tile(item, 2), np.tile(where, 2), np.tile(entry, 2), np.concatenate([window, window - 1])
+        order = np.lexsort((where, entry, window, item))
+        item, where, entry, window = item[order], where[order], entry[order], window[order]
         new = np.ones(len(item), dtype=bool)
-        new[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+        new[1:] = (item[1:] != item[:-1]) | (window[1:] != window[:-1])
+        fresh = new.copy()
+        fresh[1:] |= entry[1:] != entry[:-1]
+        first = np.flatnonzero(new)
+        count = np.add.reduceat(np.where(fresh, self.times[entry], 0), first)
+        end = np.append(first[1:], len(item))
+        for k in np.flatnonzero(count >= self.least[item[first]]):
+            yield int(item[first[k]]), where[first[k] : end[k]], entry[first[k] : end[k]]
+
+    def candidates(self, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, lowest diagonal, highest diagonal) of each band that meets the item's bound, each once."""
+        return sorted({(item, *band) for item, where, entry in self.windows(at, lo, n) for band in self.bands(item, where, entry)})
+
+    def bands(self, item: int, where: np.ndarray, entry: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Bands of diagonals of a window with as many distinct places of the item as a copy has.
+
+        A window that would pair each of its places with ``MANY`` of the item's
+        repeats itself; all its diagonals then are one band, which the alignment decides.
+        """
+        times, e = self.times[entry], int(self.edits[item])
+        if times.sum() > MANY * len(where):
+            yield int(where.min() - self.lengths[item] + self.q), int(where.max())
+            return
+        index = np.repeat(self.first[entry] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        place = self.places[index]
+        diagonal = np.repeat(where, times) - place
+        band = diagonal // (2 * e + 1)
+        place, diagonal, band = np.tile(place, 2), np.tile(diagonal, 2), np.concatenate([band, band - 1])
+        order = np.lexsort((place, band))
+        place, diagonal, band = place[order], diagonal[order], band[order]
+        new = np.ones(len(band), dtype=bool)
+        new[1:] = band[1:] != band[:-1]
         fresh = new.copy()
         fresh[1:] |= place[1:] != place[:-1]
         first = np.flatnonzero(new)
         count = np.add.reduceat(fresh, first, dtype=np.int64)
         low, high = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first)
-        enough = np.flatnonzero(count >= self.least[item[first]])
-        # overlapping bands often hold the same grams
-        yield from sorted({(int(item[first[k]]), int(low[k]) - (1 << 20), int(high[k]) - (1 << 20)) for k in enough})
+        for k in np.flatnonzero(count >= self.least[item]):
+            yield int(low[k]), int(high[k])
 
 
-def banded_alignment(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """(edits, end in the text) of the best alignment of the whole item with a passage, on diagonals low..high."""
+def banded_alignment(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end in the text) of the best alignments of the whole item with a passage that ends there, on diagonals low..high."""
     far = len(item) + len(text) + 1
     k = np.arange(low, high + 1)
     row = np.where((k >= 0) & (k <= len(text)), 0, far)
@@ -156,32 +201,50 @@ def banded_alignment(item: np.ndarray, text: np.ndarray, low: int, high: int) ->
         now[:-1] = np.minimum(now[:-1], row[1:] + 1)
         now[(j + 1 < 0) | (j + 1 > len(text))] = far
         row = np.minimum(np.minimum.accumulate(now - step) + step, far)
-    best = int(np.argmin(row))
-    return int(row[best]), len(item) + low + best
+    return row, len(item) + k
 
 
 def passages(text: np.ndarray, items: Items, shared: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
     """(item, start, end, edits) of each copy in one normalised text; of overlapping finds of an item the best."""
-    found: dict[int, list[tuple[int, int, int]]] = {}
+    ends: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for item, low, high in items.candidates(*(items.shared(text) if shared is None else shared)):
         t, e = items.texts[item], int(items.edits[item])
         if low == high and low >= 0 and np.array_equal(text[low : low + len(t)], t):
-            found.setdefault(item, []).append((0, low, low + len(t)))
+            ends.setdefault(item, []).append((np.zeros(1, np.int64), np.array([low + len(t)])))
             continue
         edits, end = banded_alignment(t, text, low - e, high + e)
-        if edits > e:
+        if len(near := np.flatnonzero(edits <= e)):
+            ends.setdefault(item, []).append((edits[near], end[near]))
+    out = []
+    for item, found in ends.items():
+        out += [(item, *span) for span in apart(items.texts[item], text, *(np.concatenate(x) for x in zip(*found)))]
+    return out
+
+
+def apart(item: np.ndarray, text: np.ndarray, edits: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of finds that don't overlap: the one with the fewest edits, then the first, before others."""
+    order = np.lexsort((edits, end))
+    edits, end = edits[order], end[order]
+    new = np.ones(len(end), dtype=bool)
+    new[1:] = end[1:] != end[:-1]
+    edits, end = edits[new], end[new]
+    gone = np.zeros(len(end), dtype=bool)
+    starts, stops, out = [], [], []
+    for k in np.lexsort((end, edits)):
+        if gone[k]:
             continue
+        e, b = int(edits[k]), int(end[k])
         # backwards from the end: where the passage starts
-        part = text[max(0, end - len(t) - e) : end][::-1]
-        start = end - banded_alignment_prefix(t[::-1], part, e)
-        found.setdefault(item, []).append((edits, start, end))
-    out = []
-    for item, spans in found.items():
-        taken: list[tuple[int, int]] = []
-        for edits, start, end in sorted(spans):
-            if all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
-                out.append((item, start, end, edits))
+        a = b - (banded_alignment_prefix(item[::-1], text[max(0, b - len(item) - e) : b][::-1], e) if e else len(item))
+        at = bisect_left(starts, b)
+        if at and stops[at - 1] > a:
+            continue
+        starts.insert(at, a)
+        stops.insert(at, b)
+        out.append((a, b, e))
+        # what ends within the find, or so soon behind it that it must start there
+        near = slice(np.searchsorted(end, a, side="right"), np.searchsorted(end, b + len(item) + int(edits.max()), side="left"))
+        gone[near] |= (end[near] <= b) | (end[near] - len(item) + edits[near] < b)
     return out
 
 
