@@ -228,7 +228,35 @@ def test_matches_by_any_condition(spark, tables, sql, expected):
     assert rows(spark, sql) == expected
 
 
-RELATION = [*SUMMARISED, *[q for q, _ in CORRELATED], *[q for q, _ in MATCHES], "SELECT n_regionkey FROM nation INTERSECT SELECT r_regionkey FROM region WHERE r_regionkey < 3", "SELECT r_regionkey FROM region EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey < 2", "SELECT DISTINCT k FROM (SELECT n_regionkey k, count(*) c FROM nation GROUP BY 1 UNION ALL SELECT r_regionkey, 1 FROM region) x", "SELECT 1 AS x"]
+#: Nations as a tree, each under the one whose key is a third of its own.
+TREE = "WITH RECURSIVE t(k, d) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 1 UNION ALL SELECT n.n_nationkey, d + 1 FROM t JOIN nation n ON n.n_nationkey DIV 3 = t.k{}) "
+RECURSIVE = [
+    (TREE.format("") + "SELECT k FROM t WHERE k IN (1, 4, 13)", {(1,): [["nation_2"]], (4,): [["nation_2", "nation_5"]], (13,): [["nation_14", "nation_2", "nation_5"]]}),
+    (TREE.format("") + "SELECT d, count(*) c FROM t WHERE d < 2 GROUP BY d", {(0, 1): [["nation_2"]], (1, 3): [["nation_2", "nation_4"], ["nation_2", "nation_5"], ["nation_2", "nation_6"]]}),
+    (TREE.format(" WHERE n.n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey = 4)") + "SELECT DISTINCT k FROM t", {(1,): [["nation_2"]], (4,): [["nation_2", "nation_5", "region_5"]], (13,): [["nation_14", "nation_2", "nation_5", "region_5"]]}),
+    (TREE.format("") + "SELECT a.k, b.k j FROM t a JOIN t b ON a.k = b.k + 1 WHERE a.k < 5", {(4, 3): [["nation_2", "nation_4", "nation_5"]]}),
+    ("WITH RECURSIVE s(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM s WHERE i < 4) SELECT i FROM s", {(i,): [[]] for i in (1, 2, 3, 4)}),
+    ("WITH RECURSIVE s(i) AS (SELECT 22 UNION ALL SELECT i + 1 FROM s WHERE i < 30) SELECT i FROM s JOIN nation ON n_nationkey = i", {(22,): [["nation_23"]], (23,): [["nation_24"]], (24,): [["nation_25"]]}),
+    (TREE.format("").replace("= 1 UNION", "> 99 UNION") + "SELECT k FROM t", {}),
+    ("WITH RECURSIVE t(k, d) AS (SELECT c, 0 FROM (SELECT n_regionkey c, count(*) FROM nation WHERE n_nationkey < 3 GROUP BY 1) UNION ALL SELECT r_regionkey, d + 1 FROM t JOIN region ON r_regionkey = k + 3 WHERE d < 1) SELECT k FROM t", {(0,): [["nation_1"]], (1,): [["nation_2"], ["nation_3"]], (3,): [["nation_1", "region_4"]], (4,): [["nation_2", "region_5"], ["nation_3", "region_5"]]}),
+]
+
+
+@pytest.mark.parametrize(("sql", "expected"), RECURSIVE)
+def test_recursion_multiplies_along_the_derivation(spark, tables, sql, expected):
+    assert rows(spark, sql) == expected
+    counts = {tuple(r)[:-1]: r.why for r in sql_with_why(spark, sql, "count", TABLES).collect()}
+    assert counts == {k: len(v) for k, v in expected.items()}
+
+
+def test_recursion_without_end_and_matches_without_a_rule_are_refused(spark, tables):
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        sql_with_why(spark, "WITH RECURSIVE t(k) AS (SELECT r_regionkey FROM region UNION ALL SELECT (k + 1) % 5 FROM t) SELECT k FROM t", tables=TABLES).collect()
+    with pytest.raises(NotImplementedError):
+        sql_with_why(spark, TREE.format(" WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey < n.n_regionkey)") + "SELECT k FROM t", tables=TABLES)
+
+
+RELATION = [*SUMMARISED, *[q for q, _ in RECURSIVE[:7]], *[q for q, _ in CORRELATED], *[q for q, _ in MATCHES], "SELECT n_regionkey FROM nation INTERSECT SELECT r_regionkey FROM region WHERE r_regionkey < 3", "SELECT r_regionkey FROM region EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey < 2", "SELECT DISTINCT k FROM (SELECT n_regionkey k, count(*) c FROM nation GROUP BY 1 UNION ALL SELECT r_regionkey, 1 FROM region) x", "SELECT 1 AS x"]
 
 
 def test_the_relation_holds_the_sets(spark, tables):

@@ -55,6 +55,14 @@ def _sum(*rids: str) -> str:
 
 N, R, C, S, O, L = (_t(x) for x in ("nation", "region", "customer", "supplier", "orders", "lineitem"))
 
+#: Customers as a tree, each under the one whose key is a tenth of its own; walks go down from keys 1 to 9.
+_TREE = "WITH RECURSIVE t(k, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey BETWEEN 1 AND 9 UNION ALL SELECT c.c_custkey, t.depth + 1 FROM t JOIN customer c ON c.c_custkey DIV 10 = t.k{})"
+_TREE_SQL = f"WITH RECURSIVE t(k, depth, w) AS (SELECT c_custkey, 0, [rid] FROM {C} WHERE c_custkey BETWEEN 1 AND 9 UNION ALL SELECT c.c_custkey, t.depth + 1, {{}} FROM t JOIN {C} c ON c.c_custkey // 10 = t.k{{}})"
+_PATHS = _TREE_SQL.format("list_append(t.w, c.rid)", "")
+_PATH = _formula("[list_sort(list_distinct(t.w))]") + " AS why"
+_PATH_AND_NATION = _formula("list(list_sort(list_distinct(t.w || [u.rid, n.rid])))") + " AS why"
+_NATIONS = " JOIN (SELECT n_nationkey, list(rid) AS ids FROM " + N + " WHERE n_regionkey IN (1, 3) GROUP BY n_nationkey) n ON c.c_nationkey = n.n_nationkey"
+
 #: name -> (query for the engine, the same with provenance in DuckDB SQL)
 SQL: dict[str, tuple[str, str]] = {
     "filter_leaf_scan": (
@@ -179,6 +187,18 @@ SQL: dict[str, tuple[str, str]] = {
         "SELECT s.s_suppkey FROM supplier s WHERE s.s_acctbal > (SELECT avg(s_acctbal) FROM supplier)",
         f"SELECT s.s_suppkey, {_one('s.rid')} FROM {S} s WHERE s.s_acctbal > (SELECT avg(s_acctbal) FROM supplier)",
     ),
+    "recursive_paths": (
+        f"{_TREE.format('')} SELECT k, depth FROM t",
+        f"{_PATHS} SELECT k, depth, {_PATH} FROM t",
+    ),
+    "recursive_levels": (
+        f"{_TREE.format('')} SELECT n.n_name, t.depth, count(*) AS c FROM t JOIN customer u ON u.c_custkey = t.k JOIN nation n ON u.c_nationkey = n.n_nationkey GROUP BY n.n_name, t.depth",
+        f"{_PATHS} SELECT n.n_name, t.depth, count(*) AS c, {_PATH_AND_NATION} FROM t JOIN {C} u ON u.c_custkey = t.k JOIN {N} n ON u.c_nationkey = n.n_nationkey GROUP BY n.n_name, t.depth",
+    ),
+    "recursive_semi": (
+        f"{_TREE.format(' WHERE c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3))')} SELECT k, depth FROM t",
+        f"{_TREE_SQL.format('t.w || [c.rid] || n.ids', _NATIONS)} SELECT k, depth, {_PATH} FROM t",
+    ),
     "scalar_correlated": (
         "SELECT r.r_name, (SELECT max(n.n_name) FROM nation n WHERE n.n_regionkey = r.r_regionkey) AS last_name, (SELECT count(*) FROM nation n WHERE n.n_regionkey = r.r_regionkey AND n.n_nationkey > 20) AS late FROM region r",
         f"SELECT r.r_name, (SELECT max(n.n_name) FROM nation n WHERE n.n_regionkey = r.r_regionkey) AS last_name, (SELECT count(*) FROM nation n WHERE n.n_regionkey = r.r_regionkey AND n.n_nationkey > 20) AS late, {_one('r.rid')} FROM {R} r",
