@@ -77,9 +77,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def stage_bucketed(df: DataFrame, name: str, key: str, rows: int) -> DataFrame:
-    """As ``stage``, dealt by ``key`` into buckets of at most about ``rows`` rows: joins by the key don't shuffle it again."""
+    """As ``stage``, dealt by ``key`` into buckets of about ``rows`` rows, as many as Spark allows: joins by the key don't shuffle it again."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    n = max(partitions(spark), -(-df.count() // rows))
+    n = min(max(partitions(spark), -(-df.count() // rows)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     table_name = f"whyframe_{uuid.uuid4().hex}"
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table_name)
     out = spark.table(table_name)
