@@ -1,6 +1,7 @@
 """Tables, answers, leaf scans, retrieval, logs and model hooks."""
 
 import html
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,16 @@ def test_batched_search_in_blocks(spark):
         assert sorted(w[1] for w in whole if w[0] == i) == sorted(j for _, j in near)
 
 
+def test_equal_sets_are_found_without_comparing_all_pairs(spark):
+    sets = [[f"nation_{i % 12000}", "region_1"] if i % 3 else ["region_1", f"nation_{i % 12000}"] for i in range(24000)]
+    df = spark.createDataFrame([(1, sets)], "id int, provenance array<array<string>>")
+    index = spark.createDataFrame([(f"nation_{i}",) for i in range(12000)] + [("region_1",)], "rid string")
+    start = time.monotonic()
+    got = answers.validate(df, index)
+    assert "array_position" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.set_no for r in got.collect()) == list(range(12000, 24000)) and time.monotonic() - start < 60
+
+
 def test_every_try_is_noted_and_later_ones_carry_a_hint():
     prompts, notes = [], []
 

@@ -96,16 +96,18 @@ def validate(answers: DataFrame, index: DataFrame | dict[str, DataFrame], key: s
 
     Empty sets, ids repeated in a set, unknown ids (each place once) and sets
     that repeat an earlier one in any order. ``index`` is the tables by name, or
-    has the known ids in column rid. Numbering repeats within an answer uses its own array, so no
-    key's sets meet in one sort.
+    has the known ids in column rid. Repeats within an answer are told by its own array, sorted, so no
+    key's sets are shuffled together and no set is compared with all others.
     """
     sets = witnesses(answers, key, prov)
     empty = sets.where(F.size("witness") == 0).select(key, "set_no", F.lit("empty").alias("problem"), F.lit(None).cast("string").alias("rid"))
     twice = sets.where(F.size("witness") != F.size(F.array_distinct("witness"))).select(key, "set_no", F.lit("repeated id").alias("problem"), F.lit(None).cast("string").alias("rid"))
     ids = sets.select(key, "set_no", F.explode("witness").alias("rid"))
     unknown = ids.join(missing_ids(answers, index, prov), "rid", "left_semi").select(key, "set_no", F.lit("unknown id").alias("problem"), "rid")
-    ordered = answers.select(key, F.transform(prov, lambda w: F.sort_array(w)).alias("p"))
-    again = ordered.select(key, F.posexplode(F.transform("p", lambda w, i: F.array_position(F.col("p"), w) < i + 1)).alias("set_no", "late")).where("late")
+    # equal sets stand together after a sort, first the one that came first; the sorted array is bound once, so the filter is one pass
+    ordered = F.sort_array(F.transform(prov, lambda w, i: F.struct(F.sort_array(w).alias("w"), i.alias("set_no"))))
+    later = F.transform(F.array(ordered), lambda s: F.filter(s, lambda x, i: (i > 0) & x["w"].eqNullSafe(F.get(s, i - 1)["w"])))[0]
+    again = answers.select(key, F.explode(F.transform(later, lambda x: x["set_no"])).alias("set_no"))
     repeated = again.select(key, "set_no", F.lit("repeated set").alias("problem"), F.lit(None).cast("string").alias("rid"))
     return empty.unionByName(twice).unionByName(unknown).unionByName(repeated)
 
