@@ -157,6 +157,19 @@ def test_batched_search_in_blocks(spark):
         assert sorted(w[1] for w in whole if w[0] == i) == sorted(j for _, j in near)
 
 
+def test_batched_search_holds_few_rows_a_task_and_ranks_as_spark_does(spark):
+    rows = [(i, [float(i * i % 7), float(i % 5) / 3, -1.5]) for i in range(200)] + [(300, None), (301, [1.0, None, 2.0]), (302, [1.0]), (303, [float("nan"), 0.0, 0.0]), (304, [float("inf"), 0.0, 0.0]), (305, [2.0]), (None, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = v.where("vec_id % 50 = 0 OR vec_id = 302").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    scored = v.join(q, F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", retrieval.l2_squared(F.col("embedding"), F.col("q_vec")).alias("distance"))
+    want = scored.withColumn("rank", F.row_number().over(retrieval.Window.partitionBy("q_id").orderBy("distance", "vec_id"))).where("rank <= 9")
+    for block in (4096, 2):
+        got = retrieval.vector_top_k_batch(v, q, 9, block=block)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = retrieval.vector_top_k_batch(v, q, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan  # no row for each vector and query
+
+
 def test_equal_sets_are_found_without_comparing_all_pairs(spark):
     sets = [[f"nation_{i % 12000}", "region_1"] if i % 3 else ["region_1", f"nation_{i % 12000}"] for i in range(24000)]
     df = spark.createDataFrame([(1, sets)], "id int, provenance array<array<string>>")
