@@ -87,6 +87,19 @@ def test_very_long_text(spark, tmp_path):
     assert token_store.TokenStore(base).get(1).tolist() == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_a_shard_is_written_once(spark, tmp_path, monkeypatch):
+    done, plain = spark.sparkContext.accumulator(0), token_store.packed_documents
+    data = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string").repartition(3)
+
+    def counted(batch, *rest):
+        done.add(batch.num_rows)
+        return plain(batch, *rest)
+
+    monkeypatch.setattr(token_store, "packed_documents", counted)
+    token_store.write_store(data, f"file://{tmp_path}/once", P.path("word_bpe_49k.json"), 2, shards=4)
+    assert done.value == 50
+
+
 def test_empty_store(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.store_documents(empty, P.path("word_bpe_49k.json"), 2, f"file://{tmp_path}/e").count() == 0

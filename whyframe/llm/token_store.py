@@ -201,7 +201,8 @@ def write_store(docs: DataFrame, base: str, tokenizer: str, end_id: int, id_col:
         shards = max(partitions(spark), -(-size // SHARD_BYTES))
     ordered = plain.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie").drop("tie")
     schema = "shard int, documents long, tokens long, low long, high long, lows long, highs long"
-    done = ordered.mapInArrow(run, schema).where("documents > 0").orderBy("shard").collect()  # one row for each shard
+    # one row for each shard; sorted here, as a sort in Spark would sample the shards first and so write them twice
+    done = sorted(ordered.mapInArrow(run, schema).where("documents > 0").collect(), key=lambda r: r.shard)
     with writing(f"{base}/manifest.json") as f:
         f.write(json.dumps([r.asDict() for r in done]).encode())
     return [(r.shard, r.documents, r.tokens) for r in done]
