@@ -266,6 +266,28 @@ def test_the_relation_holds_the_sets(spark, tables):
         assert set(got) == full and ("GROUP BY" not in sql or len(got) == len(full)), sql
 
 
+def test_the_relation_moves_no_witnesses_where_ids_stand_once(spark, tmp_path):
+    """Few groups are sent to their rows, rows with many matches are dealt out first, and no DISTINCT follows; with an id twice it does."""
+    nested = "SELECT x.n, count(*) c FROM (SELECT c_nationkey k, count(*) n FROM customer GROUP BY c_nationkey HAVING count(*) > 1) x JOIN nation ON x.k = n_nationkey WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = x.k) GROUP BY x.n"
+    spark.range(3).selectExpr("id n_nationkey", "concat('N', id) n_name").write.parquet(f"{tmp_path}/nation")
+    spark.range(40).selectExpr("id c_custkey", "id % 4 c_nationkey").write.parquet(f"{tmp_path}/customer")
+    spark.range(30).selectExpr("id s_suppkey", "id % 5 s_nationkey").write.parquet(f"{tmp_path}/once")
+    spark.range(30).selectExpr("id div 2 s_suppkey", "id div 2 % 5 s_nationkey").write.parquet(f"{tmp_path}/twice")
+    names = {"nation": "nation", "customer": "customer", "supplier": "once"}
+    for name, folder in names.items():
+        spark.read.parquet(f"{tmp_path}/{folder}").createOrReplaceTempView(name)
+    df = sql_with_why(spark, nested, "rows", set(names))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "RepartitionByExpression" in plan and not plan.lstrip().startswith("Aggregate")
+    full = sorted((*tuple(r)[:-1], tuple(w)) for r in sql_with_why(spark, nested, tables=set(names)).collect() for w in r.why)
+    assert sorted((*tuple(r)[:-1], tuple(r.why)) for r in df.collect()) == full and len(full) == 180
+    spark.read.parquet(f"{tmp_path}/twice").createOrReplaceTempView("supplier")
+    again = sql_with_why(spark, nested, "rows", set(names))
+    assert again._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Aggregate")
+    full = sorted((*tuple(r)[:-1], tuple(w)) for r in sql_with_why(spark, nested, tables=set(names)).collect() for w in r.why)
+    assert sorted((*tuple(r)[:-1], tuple(r.why)) for r in again.collect()) == full
+
+
 def test_the_relation_gathers_no_sets(spark, tables):
     df = sql_with_why(spark, "SELECT r_name, count(*) c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", "rows", TABLES)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
