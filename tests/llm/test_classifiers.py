@@ -153,3 +153,14 @@ def test_odd_documents(spark, model):
     assert got == [("4", "proprietary"), ("4", "proprietary"), ("5", "mit"), ("None", "proprietary")]
     assert licences.scan_licences(odd.where("false"), model).count() == 0
     assert licences.plain_paragraphs(odd, 10) == sorted({"w " * 300_000 + "."})
+
+
+def test_the_chain_is_fitted_outside_the_driver(spark, monkeypatch):
+    """The sample stays with the executors; only weights come back."""
+    docs = spark.createDataFrame([(i, "vile word here" if i % 2 else "kind word there") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 // 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("the sample came to the driver"))
+    chain = toxicity.fit_chain(docs, labels, toxicity.label_categories(), "toxic")
+    assert len(chain.models) == 3
+    got = {r.doc_id: r.toxic for r in toxicity.score_toxicity(docs, chain).collect()}
+    assert got == {i: i % 2 == 1 for i in range(40)}

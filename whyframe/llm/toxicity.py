@@ -19,6 +19,8 @@ kept as they are by ``drop_toxic``.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -147,8 +149,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], decisive: str, per_class: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit on a bounded sample. categories: name -> condition on a row of labels, in the chain's order.
 
-    The sample is what is sent to the driver: 2 * per_class documents, each by
-    its distinct slots.
+    The sample, 2 * per_class documents, each by its distinct slots, meets in one
+    task, which fits the models; the driver gets their weights alone.
     """
     names = list(categories)
     known = labels.select(as_id(id_col).alias("id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()]).where("id IS NOT NULL")
@@ -168,11 +170,24 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
 
     plain = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     joined = plain.join(F.broadcast(sample), "id")  # at most 2 * per_class ids
-    found = joined.mapInArrow(run, "id long, slots binary, " + ", ".join(f"`{n}` int" for n in names)).toArrow()
+    sampled = joined.mapInArrow(run, "id long, slots binary, " + ", ".join(f"`{n}` int" for n in names))
+
+    def fit(batches):
+        batches = list(batches)
+        if batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fit(pa.Table.from_batches(batches), names, decisive, totals))], pa.binary())], ["chain"])
+
+    fitted = sampled.repartition(1).mapInArrow(fit, "chain binary").collect()
+    models, threshold = pickle.loads(fitted[0].chain) if fitted else ([], 2.0)
+    return Chain(names, models, decisive, threshold)
+
+
+def _fit(found: pa.Table, names: list[str], decisive: str, totals: dict[int, int]) -> tuple[list[Linear], float]:
+    """The chain's models and threshold, from the sample's slots and labels."""
     found = found.take(pc.sort_indices(found, sort_keys=[("id", "ascending"), ("slots", "ascending")]))
     ids = found.column("id").to_numpy()
     if not len(ids):
-        return Chain(names, [], decisive, 2.0)
+        return [], 2.0
     once = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of a repeated document one
     ids, found = ids[once], found.take(once)
     slots = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]
@@ -189,7 +204,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
     d = names.index(decisive)
     share = np.bincount(y[:, d].astype(int), minlength=2)
     weight = np.array([totals.get(c, 0) / max(1, share[c]) for c in (0, 1)])[y[:, d].astype(int)]
-    return Chain(names, models, decisive, best_threshold(oof[:, d], y[:, d], weight))
+    return models, best_threshold(oof[:, d], y[:, d], weight)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
