@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,19 @@ def test_the_chain_is_fitted_outside_the_driver(spark, monkeypatch):
     assert len(chain.models) == 3
     got = {r.doc_id: r.toxic for r in toxicity.score_toxicity(docs, chain).collect()}
     assert got == {i: i % 2 == 1 for i in range(40)}
+
+
+def test_the_fit_holds_its_sample_once():
+    """Rows in any order and over several batches, some repeated; Arrow copies none of their slots."""
+    rng = np.random.default_rng(3)
+    n = 240
+    slots = [np.unique(rng.integers(0, 1 << toxicity.BITS, 4000)).astype(np.int32).tobytes() for _ in range(n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids), pa.array([slots[i] for i in ids], pa.binary()), pa.array([i % 2 for i in ids], pa.int32())], ["id", "slots", "toxic"]) for ids in (list(range(n - 1, 90, -1)), list(range(120)))]
+    table, before = pa.Table.from_batches(batches), pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(pool)
+    try:
+        models, _ = toxicity._fit(table, ["toxic"], "toxic", {0: n // 2, 1: n // 2})
+    finally:
+        pa.set_memory_pool(before)
+    assert len(models) == 1 and pool.max_memory() < table.nbytes / 10

@@ -184,14 +184,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
 
 def _fit(found: pa.Table, names: list[str], decisive: str, totals: dict[int, int]) -> tuple[list[Linear], float]:
     """The chain's models and threshold, from the sample's slots and labels."""
-    found = found.take(pc.sort_indices(found, sort_keys=[("id", "ascending"), ("slots", "ascending")]))
-    ids = found.column("id").to_numpy()
+    order = pc.sort_indices(found, sort_keys=[("id", "ascending"), ("slots", "ascending")]).to_numpy()
+    ids = found.column("id").to_numpy()[order]
     if not len(ids):
         return [], 2.0
     once = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of a repeated document one
-    ids, found = ids[once], found.take(once)
-    slots = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]
-    y = np.stack([found.column(n).to_numpy() for n in names], axis=1).astype(float)
+    ids, order = ids[once], order[once]
+    views = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]  # the sample is held once, as it came
+    slots = [views[i] for i in order.tolist()]
+    y = np.stack([found.column(n).to_numpy()[order] for n in names], axis=1).astype(float)
     fold = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
     oof, models = np.zeros(y.shape), []
     for k in range(len(names)):
