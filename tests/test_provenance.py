@@ -61,6 +61,15 @@ def test_intersect_matches_nulls(spark, tables):
     assert got == {(None,): [["nation_1", "region_1"]], (1,): [["nation_2", "region_2"]]}
 
 
+def test_intersect_orders_its_pairs_once(spark, tables):
+    """The product is in canonical form; a second ordering would copy every pair of a group again."""
+    sql = "SELECT n_regionkey k FROM nation WHERE n_nationkey < 12 INTERSECT SELECT n_regionkey FROM nation WHERE n_nationkey > 11"
+    got = rows(spark, sql)
+    assert all(p == sorted(sorted(set(w)) for w in p) and len(p) == len({tuple(w) for w in p}) for p in got.values())
+    plan = sql_with_why(spark, sql)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_union") == 1 and plan.count("get(lambda") == 1, plan
+
+
 def test_constants_have_the_empty_witness(spark, tables):
     assert rows(spark, "SELECT 1 AS x") == {(1,): [[]]}
 
