@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from whyframe.functions import why
 from whyframe.operators.provenance import sql_with_why
+from whyframe.plans.catalyst import Catalyst
 from whyframe.sources.tables import register
 
 TABLES = {"region", "nation"}
@@ -70,6 +71,29 @@ def test_intersect_orders_its_pairs_once(spark, tables):
     assert plan.count("array_union") == 1 and plan.count("get(lambda") == 1, plan
 
 
+def test_intersect_writes_its_formula_without_an_array_of_all_pairs(spark, tables):
+    """The registered query's text; a plan with the array of pairs fails by memory where the text alone would not."""
+    sql = "SELECT n_regionkey k FROM nation WHERE n_nationkey < 18 INTERSECT SELECT n_regionkey FROM nation WHERE n_nationkey > 5 ORDER BY k"
+    text, whole = sql_with_why(spark, sql, prov="formula", tables=TABLES), sql_with_why(spark, sql, tables=TABLES)
+    assert text.collect() == whole.withColumn("why", why.formula(F.col("why"))).collect()
+    c = Catalyst(spark)
+    kinds = lambda df: {e.dataType().simpleString() for x in c.walk(c.plan_of(df)) if x.nodeName() == "Project" for e in c.items(x.projectList()) if e.nodeName() == "Alias"}
+    assert "array<array<string>>" in kinds(whole) and "array<array<string>>" not in kinds(text)
+
+
+SIDES = st.lists(st.sampled_from([[], ["a"], ["a", "b"], ["a", "c"], ["b"], ["b", "d"], ["c"], ["d"], ["\u00e9"]]), max_size=6).map(lambda x: sorted(map(list, {tuple(w) for w in x})))
+
+
+@given(st.lists(st.tuples(SIDES, SIDES), min_size=1, max_size=20), st.sampled_from([1, 3, 10, 1000]))
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_formula_of_times(spark, sides, pairs):
+    """Ranges of any width give the text of the whole product, also with empty, shared and missing sets."""
+    df = spark.createDataFrame(sides, "p array<array<string>>, q array<array<string>>")
+    p, q = F.col("p"), F.col("q")
+    for r in df.select("p", "q", why.formula(why.times(p, q)).alias("want"), why.formula_of_times(p, q, pairs).alias("got")).collect():
+        assert r.got == r.want, r
+
+
 def test_constants_have_the_empty_witness(spark, tables):
     assert rows(spark, "SELECT 1 AS x") == {(1,): [[]]}
 
